@@ -22,11 +22,21 @@ def local_session(cores: int = 8, name: str = "ledgerleaf", **conf: str) -> Spar
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    spark = builder.getOrCreate()
+    spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Let long projections leave whole-stage code generation.
+
+    Methods above 8000 bytes of byte code are never compiled by the JVM. Beyond that
+    size Spark's split projections run several times faster than one fused method.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read: ``spark.checkpoint.dir``.
 

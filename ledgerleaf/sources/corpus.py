@@ -103,31 +103,42 @@ DOCUMENT_COLUMNS = {
     "total_fault": "CASE WHEN key % 19 = 4 THEN 100 ELSE 0 END",
     "mark": "CASE WHEN key % 31 = 2 THEN 'Rs. ' WHEN key % 31 = 3 THEN 'INR ' ELSE '' END",
     "line_end": "CASE WHEN key % 29 = 1 THEN concat(chr(13), chr(10)) ELSE chr(10) END",
+    "sub_text": money("subtotal_cents"),
+    "tax_text": money("tax_cents"),
+    "igst_text": money("(2 * tax_cents)"),
+    "total_text": f"mark || ({money('(subtotal_cents + 2 * tax_cents + total_fault)')})",
+    "net_text": f"mark || ({money('(subtotal_cents + total_fault)')})",
+    "issued_on": f"concat('Issued on ', {_DAY}, '-', {_MONTH}, '-', {_YEAR})",
+    "year_end": f"concat({_YEAR}, '-12-31')",
+    "contact": (
+        "concat('Contact user', cast(custkey as string), '@mail.example.com or +91 ', "
+        "lpad(cast(custkey % 1000 as string), 3, '2'), '-555-', lpad(cast(key % 10000 as string), 4, '0'))"
+    ),
     "no_table": "key % 23 = 7 OR kind IN (9, 10, 11, 13, 14, 15)",
 }
 
 
-def _line(label: str, value: str) -> str:
-    return f"concat('{label}', {value})"
+def _line(label: str, *parts: str) -> str:
+    """A labelled line; null when a part is null."""
+    return f"('{label}' || " + " || ".join(f"({p})" for p in parts) + ")"
 
 
 _NO = lambda label: _line(label, "doc_no")
 _DATE = _line("DATE: ", "doc_date")
 _SELLER = [_line("SELLER GSTIN: ", "seller_gstin"), _line("SELLER PAN: ", "seller_pan")]
 _BUYER = [_line("BUYER GSTIN: ", "buyer_gstin")]
-_SUB = _line("SUBTOTAL: ", f"mark, {money('subtotal_cents')}")
-_CGST = _line("CGST: ", money("tax_cents"))
-_SGST = _line("SGST = ", money("tax_cents"))
-_IGST = _line("IGST: ", money("2 * tax_cents"))
-_TOTAL = _line("TOTAL: ", f"mark, {money('(subtotal_cents + 2 * tax_cents + total_fault)')}")
-_NET = _line("Net Amount - ", f"mark, {money('(subtotal_cents + total_fault)')}")
-_MAIL = "concat('Contact user', cast(custkey as string), '@mail.example.com or +91 ', lpad(cast(custkey % 1000 as string), 3, '2'), '-555-', lpad(cast(key % 10000 as string), 4, '0'))"
-_ON = _line("Issued on ", f"{_DAY}, '-', {_MONTH}, '-', {_YEAR}")
+_SUB = _line("SUBTOTAL: ", "mark", "sub_text")
+_CGST = _line("CGST: ", "tax_text")
+_SGST = _line("SGST = ", "tax_text")
+_IGST = _line("IGST: ", "igst_text")
+_TOTAL = _line("TOTAL: ", "total_text")
+_NET = _line("Net Amount - ", "net_text")
+_MAIL, _ON = "contact", "issued_on"
 
 # Kind number -> (lines of the first half, lines of the second half, table headers).
 KINDS = (
     (["'TAX INVOICE'", _NO("Invoice No: "), _DATE, *_SELLER, *_BUYER, "'Place of Supply: KA'"], [_SUB, _CGST, _SGST, _TOTAL], ("Description", "HSN", "Rate", "Amount")),
-    (["'SALES INVOICE'", _NO("INVOICE NUMBER: "), _DATE, _line("DUE DATE: ", f"{_YEAR}, '-12-31'"), *_BUYER], [_SUB, _IGST, _TOTAL], ("Item", "Qty", "Price", "Amount")),
+    (["'SALES INVOICE'", _NO("INVOICE NUMBER: "), _DATE, _line("DUE DATE: ", "year_end"), *_BUYER], [_SUB, _IGST, _TOTAL], ("Item", "Qty", "Price", "Amount")),
     (["'PURCHASE INVOICE'", "'VENDOR INVOICE'", _NO("BILL NO: "), _DATE, "'PAYMENT TERMS net 30'", _line("Vendor ", "seller_gstin")], [_SUB, _TOTAL], ("Item Description", "Qty", "Unit Price", "Total")),
     (["'PURCHASE ORDER'", _NO("PO NUMBER: "), _DATE, "'Delivery Date as agreed'", _line("Vendor Name / ", "seller_gstin")], [_NET], ("Item Code", "Qty Ordered", "Unit Price", "Net Amount")),
     (["'QUOTATION'", _NO("QUOTE NUMBER: "), _NO("Our PO NO: "), _line("Valid Until: ", "doc_date"), *_SELLER[:1]], [_NET], ("Specification", "Units", "Unit Rate", "Total Estimate")),
@@ -136,8 +147,8 @@ KINDS = (
     (["'DEBIT NOTE'", "'DEBIT MEMO'", _NO("Bill No - "), _DATE, "'REASON FOR DEBIT: short paid'", *_BUYER], [_SUB, _TOTAL], ("Part", "Units", "Each", "Value")),
     (["'BANK STATEMENT'", "'ACCOUNT NUMBER 00112233'", "'OPENING BALANCE 0.00'", _ON], ["'CLOSING BALANCE 0.00'"], ("Date", "Particulars", "Withdrawal", "Balance")),
     (["'PAYMENT RECEIPT'", "'RECEIVED WITH THANKS'", _DATE, _NO("CHEQUE NO ")], [_TOTAL], ()),
-    (["'PAYMENT VOUCHER'", "'DEBIT VOUCHER'", "'PAID TO bearer'", _DATE], [_line("Grand Total = ", money("subtotal_cents"))], ()),
-    (["'EXPENSE BILL'", "'REIMBURSEMENT'", "'EMPLOYEE NAME: A. Person'", _line("Bill date ", "doc_date")], [_line("CLAIM AMOUNT TOTAL: ", money("subtotal_cents"))], ()),
+    (["'PAYMENT VOUCHER'", "'DEBIT VOUCHER'", "'PAID TO bearer'", _DATE], [_line("Grand Total = ", "sub_text")], ()),
+    (["'EXPENSE BILL'", "'REIMBURSEMENT'", "'EMPLOYEE NAME: A. Person'", _line("Bill date ", "doc_date")], [_line("CLAIM AMOUNT TOTAL: ", "sub_text")], ()),
     (["'SALARY SLIP'", "'PAYSLIP'", "'EMPLOYEE ID 7'", _line("PAN NUMBER ", "seller_pan"), "'BASIC SALARY'"], ["'NET PAY'"], ("Earnings", "Days", "Deductions", "Amount")),
     (["'DELIVERY CHALLAN'", "'WAYBILL'", "'VEHICLE NO KA01'", _ON, _MAIL], ["'NOT FOR SALE'"], ()),
     (["'GOODS RECEIPT NOTE'", "'GRN'", "'RECEIVED BY stores'", _line("Supplier ", "seller_gstin"), _ON], ["'ACCEPTED QTY all'"], ()),

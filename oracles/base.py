@@ -154,7 +154,7 @@ cte(
     "docs",
 )
 classified("cls", "doc_bodies")
-cte("plain_bodies", "SELECT doc_id AS document_id, text AS body, []::varchar[] AS headers FROM documents")
+cte("plain_bodies", "SELECT doc_id::varchar AS document_id, text AS body, []::varchar[] AS headers FROM documents")
 classified("pcls", "plain_bodies")
 
 # --- extraction: lines and keyword values -----------------------------------------

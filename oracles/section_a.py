@@ -125,7 +125,7 @@ FROM documents d LEFT JOIN labels l USING (doc_id)
 """
 SQL["a13_image_metadata"] = """
 SELECT doc_id::varchar AS document_id, CASE WHEN ok THEN w ELSE 0 END AS width, CASE WHEN ok THEN h ELSE 0 END AS height,
-CASE WHEN ok THEN f END AS format, CASE WHEN NOT ok THEN 0 WHEN f = 'JPEG' THEN 46 ELSE 29 END AS size_bytes,
+CASE WHEN ok THEN f END AS format, CASE WHEN NOT ok THEN 0 WHEN f = 'JPEG' THEN 47 ELSE 29 END AS size_bytes,
 CASE WHEN ok THEN concat('[IMAGE FILE: ', f, ' (', w, 'x', h, 'px)]') END AS page,
 CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED' END AS parsing_status, CASE WHEN NOT ok THEN 'corrupted_image' END AS parse_error
 FROM (SELECT doc_id, 1 + n_chars % 4000 AS w, 1 + doc_id % 3000 AS h, doc_id % 7 <> 0 AS ok,

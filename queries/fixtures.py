@@ -77,7 +77,7 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Faults planted in extracted fields, that no document text could produce.
 TAMPER_SQL = {
-    "seller.gstin": "CASE WHEN key % 8 = 1 THEN concat('X', {x}) ELSE {x} END",
+    "seller.gstin": "CASE WHEN key % 8 = 1 THEN 'X' || {x} ELSE {x} END",
     "buyer.gstin": "CASE WHEN key % 8 = 2 THEN ' BAD ' ELSE {x} END",
     "seller.pan": "CASE WHEN key % 8 = 3 THEN 'ABC' ELSE {x} END",
     "buyer.pan": "CASE WHEN key % 8 = 4 THEN ' 12 ' ELSE {x} END",

@@ -81,7 +81,7 @@ def a8_text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = decode.parse_text(_text_files(spark, sf_dir))
     return parsed.select(
         "document_id",
-        F.col("pages")[0]["text"].alias("text"),
+        F.get("pages", F.lit(0))["text"].alias("text"),
         F.col("metadata")["character_count"].cast("bigint").alias("character_count"),
         F.col("metadata")["line_count"].cast("bigint").alias("line_count"),
         "page_count",
@@ -116,10 +116,10 @@ def _csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a9_csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = decode.parse_csv(_csv_files(spark, sf_dir))
-    table = F.col("tables")[0]
+    table = F.get("tables", F.lit(0))
     return parsed.select(
         "document_id",
-        F.col("pages")[0]["text"].alias("text"),
+        F.get("pages", F.lit(0))["text"].alias("text"),
         F.array_join(table["headers"], "/").alias("headers"),
         F.size(table["rows"]).alias("data_rows"),
         F.col("metadata")["total_rows"].cast("bigint").alias("total_rows"),
@@ -211,7 +211,7 @@ def a11_word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _label_cells(spark, sf_dir)
     made = assemble.word_documents(_paragraphs(spark, sf_dir).drop("doc_id"), cells.drop("page_number"))
     return made.select(
-        "document_id", F.col("pages")[0]["text"].alias("text"), _table_text(F.col("tables")).alias("tables"),
+        "document_id", F.get("pages", F.lit(0))["text"].alias("text"), _table_text(F.col("tables")).alias("tables"),
         F.col("metadata")["author"].alias("author"),
     )
 
