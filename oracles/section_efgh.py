@@ -39,7 +39,7 @@ cte(
     '=== LINE ITEMS & SERVICES ===' || {_nl} || i.t,
     {_section('TAXES & BREAKDOWN', (('CGST', 'cgst'), ('SGST', 'sgst'), ('IGST', 'igst'), ('Total Tax', 'total_tax')))},
     {_section('DOCUMENT TOTALS & CURRENCY', (('Subtotal', 'subtotal'), ('Total Tax', 'tax_amount'), ('Grand Total', 'grand_total')), "'Currency: INR'")},
-    '=== EXTRACTED PAGE TEXT ===' || {_nl} || array_to_string(list_transform(pages, lambda p: concat('[Page ', p.page_number, ']', {_nl}, {strip('p.text')})), {_nl})
+    '=== EXTRACTED PAGE TEXT ===' || {_nl} || array_to_string(list_transform(pages, lambda pg: concat('[Page ', pg.page_number, ']', {_nl}, {strip('pg.text')})), {_nl})
     ) AS semantic_text
     FROM ext e JOIN gjudged_status USING (document_id) LEFT JOIN item_lines i USING (document_id)""",
     "ext", "gjudged_status", "item_lines",

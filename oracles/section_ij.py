@@ -81,4 +81,4 @@ SQL["j5_latency_summary"] = """
 SELECT event_type AS stage, count(*) AS runs, round(avg(value), 6) AS avg_ms, max(value) AS max_ms,
 quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY event_type
 """
-SQL["j6_workspace_isolation"] = query("SELECT query_id, record_id FROM hits_l2 JOIN req USING (query_id) WHERE workspace_id <> ws", "hits_l2", "req")
+SQL["j6_workspace_isolation"] = query("SELECT query_id, record_id FROM hits_l2 h JOIN req USING (query_id) WHERE h.workspace_id <> ws", "hits_l2", "req")
