@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions.vectors import distance
+from ledgerleaf.functions.vectors import pair_distance
 from ledgerleaf.operators.retrieve import _cleaned, _ranked
 
 MAX_BITS = 62
@@ -64,7 +64,7 @@ def approx_top_k(
         .filter(near)
         .select(
             "query_id", "record_id", "top_k",
-            distance(F.col("vector"), F.col("query_embedding"), metric).alias("distance"),
+            pair_distance(metric)(F.col("vector"), F.col("query_embedding")).alias("distance"),
         )
     )
     return _ranked(found)

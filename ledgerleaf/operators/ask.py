@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf import constants as K
 from ledgerleaf.functions import text
+from ledgerleaf.functions.session import saved
 from ledgerleaf.operators import retrieve
 from ledgerleaf.operators.embed import Embedder, embed
 
@@ -150,13 +151,18 @@ def answer(
 ) -> DataFrame:
     """Answer a table of questions; every question yields one row, refused ones too.
 
+    Runs at once. Question vectors and answers are written once to the shared folder,
+    so that no model call is repeated by a later action or a lost executor.
+
     ``questions``: query_id, workspace_id, selected_document_ids, query, top_k.
     """
     checked = questions.withColumn("error", F.coalesce(question_error(), retrieve.request_error(check_vector=False)))
-    good = embed_questions(checked.filter("error is null").drop("error"), make_embedder, dimensions)
+    good = saved(
+        embed_questions(checked.filter("error is null").drop("error"), make_embedder, dimensions), "questions"
+    )
     hits = retrieve.top_k(vectors, good.filter("embed_error is null"), **search)
     asked = good.select("query_id", "workspace_id", "selected_document_ids", "query", "embed_error")
-    replied = generate(with_context(asked, hits), make_generator)
+    replied = saved(generate(with_context(asked, hits), make_generator), "answers")
     ok = F.coalesce("embed_error", "answer_error")
     results = replied.select(
         "query_id", "workspace_id", "selected_document_ids", "query",

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from ledgerleaf import constants as K
 from ledgerleaf.functions import text
-from ledgerleaf.functions.vectors import METRICS, block_distance, distance
+from ledgerleaf.functions.vectors import METRICS, block_distance, pair_distance
 from ledgerleaf.operators.store import bucket_of
 
 MAX_BLOCK_REQUESTS = 4096
@@ -205,7 +205,7 @@ def _join_plan(vectors: DataFrame, requests: DataFrame, metric: str) -> tuple[Da
     )
     found = pairs.filter(F.size("vector") == F.size("query_embedding")).select(
         "query_id", "record_id", "top_k",
-        distance(F.col("vector"), F.col("query_embedding"), metric).alias("distance"),
+        pair_distance(metric)(F.col("vector"), F.col("query_embedding")).alias("distance"),
     )
     return vectors, _ranked(found)
 

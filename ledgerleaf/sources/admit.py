@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import mimetypes
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,26 @@ def scan_files(spark: SparkSession, path: str | list[str], glob: str | None = No
     return reader.load(path)
 
 
+def empty_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files of zero length below ``path``, in the columns of :func:`scan_files`.
+
+    Spark's file sources skip such files, but admission has to report them. Names are
+    read one by one from the file system's own iterator; only empty files are kept.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and fnmatch.fnmatch(f.getPath().getName(), glob):
+            found.append((f.getPath().toString(), f.getModificationTime()))
+    listed = spark.createDataFrame(found, "path string, at bigint")
+    return listed.select(
+        "path", F.timestamp_millis("at").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"),
+        F.lit(b"").alias("content"),
+    )
+
+
 def missing_files(requested: DataFrame, files: DataFrame) -> DataFrame:
     """Requested paths without a file, as failed documents rather than a crash."""
     return requested.join(files.select("path"), "path", "left_anti").withColumn(

@@ -48,15 +48,14 @@ def _ordered(order: str, *fields: str) -> Column:
     return F.sort_array(F.collect_list(F.struct(order, *fields)))
 
 
-def _table_rows(cells: DataFrame, *keys: str, keep_empty: bool) -> DataFrame:
+def _table_rows(cells: DataFrame, *keys: str) -> DataFrame:
     """Cells to rows of stripped strings; null cells become empty strings."""
     value = F.coalesce(text.strip(F.col("value").cast("string")), F.lit(""))
-    rows = (
+    return (
         cells.withColumn("value", value)
         .groupBy("document_id", *keys, "row_no")
         .agg(F.transform(_ordered("col_no", "value"), lambda c: c["value"]).alias("row"))
     )
-    return rows if keep_empty else rows.filter(F.exists("row", lambda x: x != ""))
 
 
 def _table(rows: Column, index: Column, page: Column) -> Column:
@@ -105,39 +104,35 @@ def worksheets(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     the sheets for the metadata, including empty ones; without it the sheets are
     those that occur in ``cells``.
     """
-    listed = cells if sheets is None else sheets
-    big = oversize_documents((cells, "value"), (listed.select("document_id", "sheet_name").distinct(), "sheet_name"))
-    rows = _table_rows(_within(cells, big), "sheet_no", "sheet_name", keep_empty=False)
+    if sheets is not None:
+        # A listed sheet counts as one row without text.
+        empty = sheets.select("document_id", "sheet_no", "sheet_name", F.lit(-1).alias("row_no"), F.lit(0).alias("col_no"))
+        cells = cells.unionByName(empty, allowMissingColumns=True)
+    big = oversize_documents((cells, "value"))
+    rows = _table_rows(_within(cells, big), "sheet_no", "sheet_name")
+    shown = F.when(F.exists("row", lambda x: x != ""), F.struct("row_no", "row"))
     sheet = rows.groupBy("document_id", "sheet_no", "sheet_name").agg(
-        F.transform(_ordered("row_no", "row"), lambda r: r["row"]).alias("rows")
+        F.transform(F.sort_array(F.collect_list(shown)), lambda r: r["row"]).alias("rows")
     )
     title = F.concat(F.lit("--- Worksheet: "), "sheet_name", F.lit(" ---"))
     body = F.concat_ws("\n", title, F.transform("rows", lambda r: F.array_join(r, " | ")))
-    number = F.col("sheet_no")
-    per_sheet = sheet.select(
-        "document_id",
-        F.struct(number.cast("int").alias("page_number"), body.alias("text")).alias("page"),
-        _table(F.col("rows"), number - 1, number).alias("table"),
-    )
-    made = per_sheet.groupBy("document_id").agg(
-        _by_number(F.collect_list("page"), "page_number").alias("pages"),
-        _by_number(F.collect_list("table"), "table_index").alias("tables"),
-    )
-    names = (
-        _within(listed.select("document_id", "sheet_no", "sheet_name").distinct(), big)
-        .groupBy("document_id")
-        .agg(F.transform(_ordered("sheet_no", "sheet_name"), lambda s: s["sheet_name"]).alias("names"))
+    number, filled = F.col("sheet_no"), F.size("rows") > 0
+    page = F.struct(number.cast("int").alias("page_number"), body.alias("text"))
+    books = sheet.groupBy("document_id").agg(
+        F.sort_array(F.collect_list(F.when(filled, page))).alias("pages"),
+        _by_number(F.collect_list(F.when(filled, _table(F.col("rows"), number - 1, number))), "table_index").alias("tables"),
+        F.transform(_ordered("sheet_no", "sheet_name"), lambda s: s["sheet_name"]).alias("names"),
     )
-    joined = names.join(made, "document_id", "left").withColumns(
+    done = books.withColumns(
         {
-            "page_count": F.greatest(F.coalesce(F.size("pages"), F.lit(0)), F.lit(0)),
+            "page_count": F.size("pages"),
             "metadata": F.create_map(
                 F.lit("sheet_names"), F.array_join("names", ", "),
                 F.lit("total_sheets"), F.size("names").cast("string"),
             ),
         }
     )
-    return _finish(joined, big)
+    return _finish(done, big)
 
 
 def _properties(properties: DataFrame | None, keys: tuple[str, ...]) -> Column:
@@ -163,7 +158,7 @@ def word_documents(
         F.filter(F.transform(_ordered("para_no", "text"), lambda p: p["text"]), lambda x: x != "").alias("parts")
     )
     if cells is not None:
-        rows = _table_rows(_within(cells, big), "table_no", keep_empty=True)
+        rows = _table_rows(_within(cells, big), "table_no")
         table = rows.groupBy("document_id", "table_no").agg(
             F.transform(_ordered("row_no", "row"), lambda r: r["row"]).alias("rows")
         )
@@ -199,7 +194,7 @@ def paged_documents(
     page = F.struct(F.col("page_number").cast("int").alias("page_number"), text.strip(F.col("text")).alias("text"))
     whole = _within(pages, big).groupBy("document_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     if cells is not None:
-        rows = _table_rows(_within(cells, big), "page_number", "table_no", keep_empty=True)
+        rows = _table_rows(_within(cells, big), "page_number", "table_no")
         table = rows.groupBy("document_id", "page_number", "table_no").agg(
             F.transform(_ordered("row_no", "row"), lambda r: r["row"]).alias("rows")
         )

@@ -71,8 +71,7 @@ CELLS = (
 SHORT_ROW = "l_linenumber = 5 AND l_returnflag = 'R'"  # three cells
 EMPTY_ROW = "l_linenumber = 6 AND l_returnflag = 'R'"  # no cell
 LINE_ORDER = (
-    "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+    "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus",
 )
 
 # Columns of a document, from: key, part, custkey, orderdate, status, subtotal_cents, n_lines.
@@ -179,7 +178,9 @@ def document_parts(lines: DataFrame) -> DataFrame:
 
 def order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Order lines and order heads, both keyed by order and document part."""
-    lines = read(spark, sf_dir, "lineitem").select("*", F.col("_metadata.row_index").alias("row_index"))
+    lines = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", *LINE_ORDER, F.col("_metadata.row_index").alias("row_index")
+    )
     parts = document_parts(lines)
     dealt = (
         lines.join(parts, "l_orderkey", "left")
@@ -202,6 +203,20 @@ def order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return dealt, heads
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that has fewer splits than the session has cores.
+
+    Large tables have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prose table."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def with_exprs(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     for name, sql in columns.items():
         df = df.withColumn(name, F.expr(sql))

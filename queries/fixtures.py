@@ -12,7 +12,7 @@ from ledgerleaf.operators.classify import classify
 from ledgerleaf.operators.extract import extract
 from ledgerleaf.operators.validate import validate
 from ledgerleaf.sources import corpus
-from ledgerleaf.sources.corpus import read, with_exprs
+from ledgerleaf.sources.corpus import read, texts, with_exprs
 
 DIMENSIONS = 64
 
@@ -43,7 +43,7 @@ MANIFEST_SQL = {
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_exprs(read(spark, sf_dir, "documents").select("doc_id", "n_chars", "text"), MANIFEST_SQL)
+    return with_exprs(texts(spark, sf_dir).select("doc_id", "n_chars", "text"), MANIFEST_SQL)
 
 
 # --- documents through the stages ---------------------------------------------------
@@ -56,7 +56,7 @@ def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerleaf import schemas
 
     page = F.struct(F.lit(1).alias("page_number"), F.col("text").alias("text"))
-    return read(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("document_id"),
         F.array(page).cast(schemas.PAGES).alias("pages"),
         F.array().cast(schemas.TABLES).alias("tables"),

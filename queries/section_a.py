@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
 from ledgerleaf.sources import admit, assemble, corpus, decode
-from ledgerleaf.sources.corpus import read, with_exprs
+from ledgerleaf.sources.corpus import read, texts, with_exprs
 from queries import fixtures as X
 
 
@@ -66,7 +66,7 @@ def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose as file bytes: Latin-1 for every other document that can be written so."""
     latin = F.expr("doc_id % 2 = 1") & F.col("text").rlike("^[\\x00-\\xff]*$")
     body = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    return read(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         F.col("doc_id").cast("string").alias("document_id"),
         F.lit("ws").alias("workspace_id"),
@@ -167,7 +167,7 @@ def a10_worksheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         F.concat(F.lit("w-"), F.col("doc_id").cast("string")).alias("document_id"),
         F.posexplode(F.split("text", "\n")).alias("para_no", "text"),
@@ -240,7 +240,7 @@ def _image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.when(F.expr("doc_id % 7 = 0"), F.lit("00112233")).when(F.expr("doc_id % 3 = 1"), jpeg).otherwise(png)
     ext = F.when(F.expr("doc_id % 3 = 1"), ".jpg").otherwise(".png")
-    return read(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("document_id"),
         F.lit("ws").alias("workspace_id"),
         F.lit("store/x").alias("storage_path"),

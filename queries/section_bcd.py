@@ -12,7 +12,7 @@ from ledgerleaf.operators import extract as E
 from ledgerleaf.operators import validate as V
 from ledgerleaf.plans import reports
 from ledgerleaf.sources import corpus
-from ledgerleaf.sources.corpus import read, with_exprs
+from ledgerleaf.sources.corpus import read, texts, with_exprs
 from queries import fixtures as X
 
 
@@ -126,11 +126,11 @@ def c5_date_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c6_email_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mentions(read(spark, sf_dir, "documents"), "doc_id", "text", text.EMAIL)
+    return _mentions(texts(spark, sf_dir), "doc_id", "text", text.EMAIL)
 
 
 def c7_phone_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mentions(read(spark, sf_dir, "documents"), "doc_id", "text", text.PHONE)
+    return _mentions(texts(spark, sf_dir), "doc_id", "text", text.PHONE)
 
 
 def c8_money_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import ids
 from ledgerleaf.functions.vectors import distance
 from ledgerleaf.operators import approx, chunk, embed, retrieve, store
-from ledgerleaf.sources.corpus import read, with_exprs
+from ledgerleaf.sources.corpus import read, texts, with_exprs
 from queries import fixtures as X
 
 
@@ -22,7 +22,7 @@ def e1_semantic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    docs = texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), "text")
     return chunk.chunks(docs, body="text")
 
 
@@ -55,11 +55,11 @@ def e6_input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- F: embedding -----------------------------------------------------------------------
 def f1_truncated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", embed.truncated(F.col("text")).alias("cut"))
+    return texts(spark, sf_dir).select("doc_id", embed.truncated(F.col("text")).alias("cut"))
 
 
 def _embedded(spark: SparkSession, sf_dir: str, make, dimensions: int = X.DIMENSIONS) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("document_id"), F.lit("ws").alias("workspace_id"),
         F.col("text").alias("text_content"),
     )

@@ -9,7 +9,7 @@ from ledgerleaf.functions import text, values
 from ledgerleaf.functions.session import new_path
 from ledgerleaf.operators import ask, embed, retrieve, store
 from ledgerleaf.plans import ingest, reports
-from ledgerleaf.sources.corpus import read
+from ledgerleaf.sources.corpus import read, texts
 from ledgerleaf.streaming import arrivals
 from queries import fixtures as X
 
@@ -113,7 +113,7 @@ def j4_arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as files, then ingested by a stream, twice with one checkpoint."""
     inbox, state, out = (new_path(spark, x) for x in ("inbox", "state", "parsed"))
     body = F.concat(F.lit("RECEIPT\n"), F.col("text"))
-    read(spark, sf_dir, "documents").select(body.alias("value")).write.option("lineSep", "\x1f").text(inbox)
+    texts(spark, sf_dir).select(body.alias("value")).write.option("lineSep", "\x1f").text(inbox)
     for _ in range(2):
         arrivals.ingest_arrivals(
             spark, inbox + "/part-*.txt", state,
