@@ -176,6 +176,20 @@ def answer(
     return results.unionByName(refused, allowMissingColumns=True)
 
 
+def results(answers: DataFrame) -> DataFrame:
+    """One result row per question, in the shape of the ingestion results."""
+    blank = text.is_blank(F.col("workspace_id"))
+    failed = F.col("error").isNotNull()
+    return answers.select(
+        "query_id",
+        (~failed).alias("success"),
+        F.lit(K.QUERY_MODE).alias("mode"),
+        F.when(blank, "UNKNOWN").otherwise(text.strip(F.col("workspace_id"))).alias("workspace_id"),
+        F.when(failed & ~blank, K.QUERY_STAGE).alias("failed_stage"),
+        F.when(blank, K.BLANK_WORKSPACE_MESSAGE).otherwise(F.col("error")).alias("error_message"),
+    )
+
+
 def scoped_totals(scopes: DataFrame, amounts: DataFrame) -> DataFrame:
     """Total amount over the selected documents of every request.
 

@@ -149,8 +149,9 @@ SQL["g4_stored_rows"] = query(
     "stored",
 )
 SQL["g5_upsert_summary"] = query(
-    "SELECT workspace_id, document_id, count(*) AS stored_count, string_agg(record_id, ',' ORDER BY record_id) AS record_ids FROM stored GROUP BY ALL",
-    "stored",
+    """SELECT workspace_id, d AS document_id, count(*) AS stored_count, string_agg(r, ',' ORDER BY r) AS record_ids FROM (
+    SELECT workspace_id, d, concat(workspace_id, ':', d, ':', chunk_id) AS r FROM (SELECT *, concat(document_id, '-', vec_id // 200) AS d FROM vecs)) GROUP BY ALL""",
+    "vecs",
 )
 
 # --- H -----------------------------------------------------------------------------------------

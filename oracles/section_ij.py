@@ -77,6 +77,17 @@ SQL["j3_result_rows"] = query(
       WHEN stage IS NOT NULL THEN concat('Pipeline stopped at stage ''', stage, ''': ', why) END AS error_message FROM run""",
     "run",
 )
+SQL["j3_question_results"] = query(
+    f"""SELECT query_id, why IS NULL AS success, 'QUERY' AS mode, CASE WHEN blank THEN 'UNKNOWN' ELSE workspace_id END AS workspace_id,
+    CASE WHEN why IS NOT NULL AND NOT blank THEN 'query_documents' END AS failed_stage,
+    CASE WHEN blank THEN 'Mandatory field ''workspace_id'' cannot be empty.' ELSE why END AS error_message FROM (
+    SELECT query_id, trim(workspace_id) AS workspace_id, trim(workspace_id) = '' AS blank,
+    CASE WHEN trim(workspace_id) = '' THEN 'missing_workspace_id' WHEN len(ids) = 0 THEN 'missing_scope'
+    WHEN conv_id % 13 = 3 THEN 'blank_document_id' WHEN {strip('query')} = '' THEN 'missing_query'
+    WHEN length({strip('query')}) > 1000 THEN 'query_too_long' WHEN top_k < 1 THEN 'top_k_too_small' WHEN top_k > 50 THEN 'top_k_too_large' END AS why
+    FROM faulty)""",
+    "faulty",
+)
 SQL["j5_latency_summary"] = """
 SELECT event_type AS stage, count(*) AS runs, round(avg(value), 6) AS avg_ms, max(value) AS max_ms,
 quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY event_type

@@ -170,7 +170,11 @@ def g4_stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g5_upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.upsert_summary(store.records(X.vectors(spark, sf_dir))).select(
+    # Blocks of 200 chunks per document: a real document is bounded by its file size.
+    rows = X.vectors(spark, sf_dir).withColumn(
+        "document_id", F.concat("document_id", F.lit("-"), F.floor(F.col("vec_id") / 200).cast("string"))
+    )
+    return store.upsert_summary(store.records(rows)).select(
         "workspace_id", "document_id", "stored_count", F.array_join("record_ids", ",").alias("record_ids")
     )
 

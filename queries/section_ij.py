@@ -109,11 +109,20 @@ def j3_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.results(_with_rejects(spark, sf_dir))
 
 
+def j3_question_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = X.faulty_questions(spark, sf_dir).withColumn(
+        "error", F.coalesce(ask.question_error(), retrieve.request_error(check_vector=False))
+    )
+    return ask.results(checked)
+
+
 def j4_arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as files, then ingested by a stream, twice with one checkpoint."""
     inbox, state, out = (new_path(spark, x) for x in ("inbox", "state", "parsed"))
     body = F.concat(F.lit("RECEIPT\n"), F.col("text"))
-    texts(spark, sf_dir).select(body.alias("value")).write.option("lineSep", "\x1f").text(inbox)
+    texts(spark, sf_dir).select(body.alias("value")).write.option("lineSep", "\x1f").option(
+        "maxRecordsPerFile", 50
+    ).text(inbox)
     for _ in range(2):
         arrivals.ingest_arrivals(
             spark, inbox + "/part-*.txt", state,
