@@ -60,30 +60,37 @@ def _over(kind: Column, field: str) -> Column:
     return limit.otherwise(_NEVER)
 
 
-def line_items(tables: Column, kind: Column) -> Column:
-    """Items of all tables; numbering restarts per table, empty rows keep their number."""
+def row_limits(kind: Column) -> dict[str, Column]:
+    """The row layout of a family as columns, so that it is looked up once per document."""
     whole = kind.isin(*(n for n, layout in ROW_LAYOUTS.items() if layout.whole_row))
-    quantity_over, price_over = _over(kind, "quantity_over"), _over(kind, "price_over")
-    amount_over = _over(kind, "amount_over")
+    fields = ("quantity_over", "price_over", "amount_over")
+    return {f"_{f}": _over(kind, f) for f in fields} | {"_whole_row": whole, "_has_items": kind != RECEIPT}
+
+
+def line_items(tables: Column) -> Column:
+    """Items of all tables, by the columns of :func:`row_limits`.
+
+    Numbering restarts per table; empty rows are skipped but keep their number.
+    """
+    c = F.col
     none = F.lit(None).cast("string")
 
     def item(row: Column, i: Column) -> Column:
         n = F.size(row)
         return F.struct(
             (i + 1).alias("item_number"),
-            F.when(whole, F.array_join(row, " | ")).otherwise(F.get(row, F.lit(0))).alias("description"),
+            F.when(c("_whole_row"), F.array_join(row, " | ")).otherwise(F.get(row, F.lit(0))).alias("description"),
             none.alias("hsn_sac"),
-            F.when(n > quantity_over, F.get(row, F.lit(1))).alias("quantity"),
-            F.when(n > price_over, F.get(row, F.lit(2))).alias("unit_price"),
-            F.when(n > amount_over, F.get(row, n - 1)).alias("amount"),
+            F.when(n > c("_quantity_over"), F.get(row, F.lit(1))).alias("quantity"),
+            F.when(n > c("_price_over"), F.get(row, F.lit(2))).alias("unit_price"),
+            F.when(n > c("_amount_over"), F.get(row, n - 1)).alias("amount"),
         )
 
     def items_of(table: Column) -> Column:
         numbered = F.transform(table["rows"], lambda r, i: F.when(F.size(r) > 0, item(r, i)))
         return F.filter(numbered, lambda x: x.isNotNull())
 
-    found = F.flatten(F.transform(tables, items_of))
-    return F.when(kind != RECEIPT, found).otherwise(F.filter(found, lambda x: F.lit(False)))
+    return F.flatten(F.transform(F.filter(tables, lambda t: c("_has_items")), items_of))
 
 
 def _pick(kind: Column, branches: dict[str, Column]) -> Column:
@@ -113,6 +120,8 @@ def extract(df: DataFrame) -> DataFrame:
     kind = c("_kind")
     body = c("_text")
     base = df.withColumns({"_kind": family(c("document_type")), "_text": text.corpus(c("pages"))})
+    limits = row_limits(kind)
+    base = base.withColumns(limits)
 
     by_lines = kind.isin(INVOICE, ORDER, RECEIPT)
     found = base.withColumns(
@@ -122,7 +131,7 @@ def extract(df: DataFrame) -> DataFrame:
             "_pans": F.when(kind.isin(INVOICE, SALARY, GENERIC), text.mentions(body, text.PAN)),
             "_emails": F.when(kind == GENERIC, text.mentions(body, text.EMAIL)),
             "_phones": F.when(kind == GENERIC, text.mentions(body, text.PHONE)),
-            "line_items": line_items(c("tables"), kind),
+            "line_items": line_items(c("tables")),
         }
     )
 
@@ -240,7 +249,7 @@ def extract(df: DataFrame) -> DataFrame:
             ),
         }
     ).drop(
-        "_kind", "_text", "_cands", "_gstins", "_pans", "_emails", "_phones", "_dates", "_number",
+        *limits, "_kind", "_text", "_cands", "_gstins", "_pans", "_emails", "_phones", "_dates", "_number",
         "_stated_date", "_date", "_due", "_subtotal", "_total", "_cgst", "_sgst", "_igst", "_tax",
     )
     return counted(done, "extract")
