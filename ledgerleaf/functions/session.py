@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,16 +39,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="ledgerleaf-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read: ``spark.checkpoint.dir``.
 
-    A temporary folder is taken only where the setting is missing, as in tests.
+    A temporary folder is taken only by a session on one machine, as in tests; on a
+    cluster a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ledgerleaf-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return _own_folder()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
