@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, contentsort, harmonic
+from ledgerleaf.llm import balltree, bpe, contentsort, harmonic, pagetext, quality, toxicity
 
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -14,6 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows divisible by 50 are the stated query set; every row is searched."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return balltree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL))
 
@@ -26,4 +40,8 @@ def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contentsort.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_bpe_encoding, op8_harmonic_packing, op9_content_sort)}
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ball_tree_top_k, op4_toxicity, op5_quality, op7_bpe_encoding, op8_harmonic_packing, op9_content_sort, op10_page_text)}
