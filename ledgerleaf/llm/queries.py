@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import balltree, bpe, contentsort, harmonic, pagetext, quality, toxicity
+from ledgerleaf.llm import balltree, bpe, contentsort, harmonic, pagetext, quality, setjoin, toxicity
 
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op3_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows divisible by 50 are the stated query set; every row is searched."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -44,4 +48,4 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ball_tree_top_k, op4_toxicity, op5_quality, op7_bpe_encoding, op8_harmonic_packing, op9_content_sort, op10_page_text)}
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_ball_tree_top_k, op4_toxicity, op5_quality, op7_bpe_encoding, op8_harmonic_packing, op9_content_sort, op10_page_text)}
