@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerleaf.llm import balltree, bpe, contentsort, harmonic, pagetext, quality, setjoin, toxicity
+from ledgerleaf.llm import balltree, bpe, contentsort, harmonic, licences, pagetext, quality, secrets, setjoin, toxicity
 
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -14,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every text with its score; the values themselves stay out of the result."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(spark))
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.linked(table(spark, sf_dir, "documents"), words=4, percent=85)
 
@@ -32,6 +39,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL))
 
@@ -48,4 +59,18 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_ball_tree_top_k, op4_toxicity, op5_quality, op7_bpe_encoding, op8_harmonic_packing, op9_content_sort, op10_page_text)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_jaccard_join,
+        op3_ball_tree_top_k,
+        op4_toxicity,
+        op5_quality,
+        op6_licence_scan,
+        op7_bpe_encoding,
+        op8_harmonic_packing,
+        op9_content_sort,
+        op10_page_text,
+    )
+}
