@@ -159,7 +159,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, id_c
     done, left = level.filter("sequence_id IS NOT NULL"), level.filter("sequence_id IS NULL")
     parts = 0
     while parts != 1 and (pieces := left.count()) > LAST:
-        depth, parts = depth + 1, max(1, pieces // SHARE)
+        depth, parts = depth + 1, max(1, min(pieces // SHARE, parts // 2 if parts else pieces))
         dealt = left.repartition(parts, F.xxhash64(id_column, "start")) if parts > 1 else left.coalesce(1)
         level = saved(dealt.mapInArrow(again(depth), schema), f"packed-{depth}")
         done, left = done.unionByName(level.filter("sequence_id IS NOT NULL")), level.filter("sequence_id IS NULL")

@@ -27,6 +27,5 @@ def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
 
 def kept(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that are not rejected, with their own columns."""
-    rows = docs.withColumnRenamed("score", "own_score") if "score" in docs.columns else docs
-    found = subword.score(rows, fit(docs, labels, id_column=id_column), text_column).filter(F.col("score") >= KEEP).drop("score")
-    return found.withColumnRenamed("own_score", "score") if "score" in docs.columns else found
+    name = "_".join(["score", *docs.columns])  # no column has this name
+    return subword.score(docs, fit(docs, labels, id_column=id_column), text_column, name).filter(F.col(f"`{name}`") >= KEEP).drop(name)

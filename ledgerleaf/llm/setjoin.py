@@ -45,7 +45,9 @@ from ledgerleaf.llm.bpe import small_batches
 from ledgerleaf.llm.components import components
 
 #: Shingles that a task resolves together, words it remembers, bits of a set's parity map.
-TOKENS, WORDS, BITS = 5_000_000, 600_000, 256
+TOKENS, WORDS, BITS = 1_200_000, 300_000, 256
+#: Bytes of text that are cut into words at once, and buckets of keys for each partition.
+TEXT, SPREAD = 4 << 20, 2
 #: A subset with one shingle less is taken to be shared by so many times more sets.
 RARER = 8.0
 #: Bits of the map of wanted rows that is sent to all tasks (1 MB, whatever the input).
@@ -103,7 +105,7 @@ class Shingler:
 
 def parity(s: np.ndarray) -> bytes:
     """Parity of the shingles in each of BITS cells: maps of two sets differ in no more places than the sets."""
-    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
 @cache
@@ -150,13 +152,15 @@ class Plan:
         begin = np.cumsum(sizes) - sizes
         n = sizes[who]
         to = np.cumsum(n)
-        token = flat[np.arange(to[-1]) + np.repeat(begin[who] - (to - n), n)]
+        source = np.arange(to[-1]) + np.repeat(begin[who] - (to - n), n)
+        token = flat[source]
         m = self.segments[band]
         first = np.cumsum(m) - m
         seed = mixed(band.astype(np.uint64) + np.uint64(1))
-        segment = (mixed(token ^ np.repeat(seed, n)) >> np.uint64(33)).astype(np.int64) % np.repeat(m, n)
+        # The upper half of the hash, scaled to the number of segments.
+        segment = ((mixed(token ^ np.repeat(seed, n)) >> np.uint64(32)) * np.repeat(m.astype(np.uint64), n) >> np.uint64(32)).astype(np.int64)
         place = np.repeat(first, n) + segment
-        value = mixed(token + _D)
+        value = mixed(flat + _D)[source]
         total = np.zeros(int(m.sum()), np.uint64)
         np.add.at(total, place, value)
         held = np.bincount(place, minlength=len(total))
@@ -206,10 +210,10 @@ class Union:
 class Resolver:
     """Links among the sets that a task holds."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], maps: list[bytes], percent: int):
         self.sets, self.percent = sets, percent
         self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        self.maps = np.frombuffer(b"".join(map(parity, sets)), np.uint64).reshape(len(sets), BITS // 64)
+        self.maps = np.frombuffer(b"".join(maps), np.uint64).reshape(len(sets), BITS // 64)
         self.groups = Union(len(sets))
         self.links: list[tuple[int, int]] = []
         self.seen: set[tuple[int, int]] = set()
@@ -261,7 +265,7 @@ class Resolver:
 def _chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Identifiers and sets of the rows of a task, by bounded chunks."""
     shingler, ids, sets, held = Shingler(words), [], [], 0
-    for b in small_batches(batches):
+    for b in small_batches(batches, TEXT):
         found = shingler(b.column(1).to_pylist())
         ids.append(b.column(0).to_numpy())
         sets += found
@@ -280,7 +284,7 @@ def _fingerprint(s: np.ndarray) -> bytes:
 def _described(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for b in small_batches(batches):
+        for b in small_batches(batches, TEXT):
             sets = shingler(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.binary()), pa.array(map(parity, sets), pa.binary())],
@@ -290,73 +294,84 @@ def _described(words: int):
     return run
 
 
-SENT = "bucket int, a binary, b binary, vertices binary, flags binary"
+SENT = "bucket int, a binary, b binary, c binary, d binary"
 PROBE, RESIDENT, MANY = 1, 2, 4
+#: Buckets of what isn't keyed: links that a task has verified, and descriptions of its rows.
+LINKS, ROWS = -1, -2
 
 
 def _entered(words: int, percent: int, buckets: int):
-    """Entries of a task by bucket of their keys; verified links travel with bucket -1."""
+    """Entries of a task by bucket of their keys, its verified links, and its rows' sizes, fingerprints and maps."""
     names = [c.split()[0] for c in SENT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent)
         for ids, sets in _chunks(batches, words):
+            marks, maps = list(map(_fingerprint, sets)), list(map(parity, sets))
+            rows = [(ROWS, ids.tobytes(), np.fromiter(map(len, sets), np.int64).tobytes(), b"".join(marks), b"".join(maps))]
             # Equal sets are one vertex: the smallest identifier.
-            order = np.argsort(ids, kind="stable").tolist()
             first: dict[bytes, int] = {}
-            for k in order:
+            for k in np.argsort(ids, kind="stable").tolist():
                 if len(sets[k]):
-                    first.setdefault(_fingerprint(sets[k]), k)
+                    first.setdefault(marks[k], k)
             at = list(first.values())
             vertex, sets = ids[at], [sets[k] for k in at]
-            if not sets:
-                continue
             key, who, probe, resident = plan.entries(sets)
-            order = np.argsort(key, kind="stable")
-            key, who, probe, resident = key[order], who[order], probe[order], resident[order]
-            resolver = Resolver(sets, percent)
-            resolver.resolve(key, who, probe, resident)
-            links = np.array(resolver.links, np.int64).reshape(-1, 2)
-            rows = [(-1, vertex[links[:, 0]].tobytes(), vertex[links[:, 1]].tobytes(), b"", b"")]
             if len(key):
-                group = np.array([resolver.groups.find(x) for x in range(len(sets))])
-                order = np.lexsort((who, group[who], key))
-                key, who, flags = key[order], who[order], (probe * PROBE + resident * RESIDENT)[order].astype(np.uint8)
-                new = np.append(True, (key[1:] != key[:-1]) | (group[who[1:]] != group[who[:-1]]))
-                begin = np.flatnonzero(new)
-                last = np.append(begin[1:], len(key)) - 1
-                flags = np.bitwise_or.reduceat(flags, begin) | np.where(who[last] != who[begin], MANY, 0).astype(np.uint8)
-                key, who = key[begin], who[begin]
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                key, who, probe, resident = key[order], who[order], probe[order], resident[order]
+                resolver = Resolver(sets, [maps[k] for k in at], percent)
+                resolver.resolve(key, who, probe, resident)
+                links = np.array(resolver.links, np.int64).reshape(-1, 2)
+                rows.append((LINKS, vertex[links[:, 0]].tobytes(), vertex[links[:, 1]].tobytes(), b"", b""))
+                # Of each local group one entry for each key leaves.
+                group = np.array([resolver.groups.find(x) for x in range(len(sets))])[who]
+                flags = (probe * PROBE + resident * RESIDENT).astype(np.uint8)
+                again = np.flatnonzero(key[1:] == key[:-1])
+                if len(again):
+                    runs = np.zeros(len(key), bool)
+                    runs[again] = runs[again + 1] = True
+                    single, many = np.flatnonzero(~runs), np.flatnonzero(runs)
+                    many = many[np.lexsort((who[many], group[many], key[many]))]
+                    begin = np.flatnonzero(np.append(True, (key[many][1:] != key[many][:-1]) | (group[many][1:] != group[many][:-1])))
+                    last = np.append(begin[1:], len(many)) - 1
+                    joint = np.bitwise_or.reduceat(flags[many], begin) | np.where(who[many[last]] != who[many[begin]], MANY, 0).astype(np.uint8)
+                    at = np.concatenate([single, many[begin]])
+                    key, who, flags = key[at], who[at], np.concatenate([flags[single], joint])
+                bucket = (key % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    part = order[cuts[b] : cuts[b + 1]]
-                    if len(part):
-                        used, place = np.unique(who[part], return_inverse=True)
-                        rows.append((b, key[part].tobytes(), place.astype(np.uint32).tobytes(), vertex[used].tobytes(), flags[part].tobytes()))
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+                key, owner, flags = key[order], vertex[who[order]], flags[order]
+                rows += [(b, key[x:y].tobytes(), owner[x:y].tobytes(), flags[x:y].tobytes(), b"") for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-STARS = "key bigint, a bigint, b bigint, open boolean"
+STARS = "kind int, key bigint, a bigint, b bigint, open boolean, many boolean, mark binary, map binary"
+
+
+def _met(kind: int, a: np.ndarray, b: np.ndarray, key=None, open_=None, many=None, mark=None, map_=None) -> pa.RecordBatch:
+    n, none = len(a), lambda x, t: pa.nulls(len(a), t) if x is None else pa.array(x, t)
+    columns = [pa.array(np.full(n, kind, np.int32)), none(key, pa.int64()), pa.array(a), pa.array(b), none(open_, pa.bool_()), none(many, pa.bool_()), none(mark, pa.binary()), none(map_, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in STARS.split(", ")])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links found by the tasks (key null), and for each key its first entry with each of the others."""
+    """Rows and links of the tasks as they came, and for each key its first entry with each of the others."""
     keys, vertices, flags = [], [], []
-    names = [c.split()[0] for c in STARS.split(", ")]
     for batch in batches:
         for r in batch.to_pylist():
-            if r["bucket"] < 0:
-                a, b = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], names=names)
+            if r["bucket"] == ROWS:
+                cut = lambda x, n: [x[i : i + n] for i in range(0, len(x), n)]
+                yield _met(ROWS, np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64), mark=cut(r["c"], 16), map_=cut(r["d"], BITS // 8))
+            elif r["bucket"] == LINKS:
+                yield _met(LINKS, np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64))
             else:
                 keys.append(np.frombuffer(r["a"], np.uint64))
-                vertices.append(np.frombuffer(r["vertices"], np.int64)[np.frombuffer(r["b"], np.uint32)])
-                flags.append(np.frombuffer(r["flags"], np.uint8))
+                vertices.append(np.frombuffer(r["b"], np.int64))
+                flags.append(np.frombuffer(r["c"], np.uint8))
     if not keys:
         return
     key, vertex, flag = np.concatenate(keys), np.concatenate(vertices), np.concatenate(flags)
@@ -374,10 +389,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(begin, append=len(key))
     any_flag = np.bitwise_or.reduceat(flag, begin)
     good = ((any_flag & PROBE) > 0) & ((any_flag & RESIDENT) > 0)
+    many = (any_flag & MANY) > 0
     head = np.repeat(vertex[begin], size)
-    open_ = np.repeat((size > 2) | ((any_flag & MANY) > 0), size)
     keep = np.repeat(good, size) & (head != vertex)
-    yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(head[keep]), pa.array(vertex[keep]), pa.array(open_[keep])], names=names)
+    yield _met(0, head[keep], vertex[keep], key[keep].view(np.int64), np.repeat((size > 2) | many, size)[keep], np.repeat(many, size)[keep])
 
 
 def _bits(cells: DataFrame) -> np.ndarray:
@@ -403,7 +418,7 @@ def _within(marked, column: str):
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for b in small_batches(batches):
+        for b in small_batches(batches, TEXT):
             sets = shingler(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
@@ -449,10 +464,10 @@ def _members(words: int, percent: int, marked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent)
         for ids, sets in _chunks(batches, words):
-            key, who, probe, resident = plan.entries(sets)
+            key, who, *_ = plan.entries(sets)
             cell = (mixed(key) % np.uint64(WANTED)).astype(np.int64)
             keep = (marked.value[cell >> 6] >> (cell & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[who[keep]]), pa.array(probe[keep]), pa.array(resident[keep])], names=["key", "id", "probe", "resident"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[who[keep]])], names=["key", "id"])
 
     return run
 
@@ -468,16 +483,16 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     known = texts.filter("id IS NOT NULL")
-    described = saved(texts.mapInArrow(_described(words), "id bigint, n bigint, mark binary, map binary"), "described")
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = known.mapInArrow(_entered(words, percent, buckets), SENT)
+    met = saved(sent.repartition(F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(_stars, STARS), "stars")
+
+    nameless = texts.filter("id IS NULL").mapInArrow(_described(words), "id bigint, n bigint, mark binary, map binary")
+    described = met.filter(F.col("kind") == ROWS).select(F.col("a").alias("id"), F.col("b").alias("n"), "mark", "map").unionByName(nameless)
     same = described.filter("n > 0 AND id IS NOT NULL").groupBy("mark").agg(F.min("id").alias("vertex"))
-    rows = described.join(same, "mark", "left").select("id", "n", "map", "vertex")
-    rows = saved(rows, "vertices")
+    rows = saved(described.join(same, "mark", "left").select("id", "n", "map", "vertex"), "vertices")
     vertices = rows.filter("id = vertex").dropDuplicates(["id"])
-    to = rows.filter("vertex IS NOT NULL").groupBy("id").agg(F.min("vertex").alias("vertex"))
-
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = known.mapInArrow(_entered(words, percent, buckets), SENT).repartition(buckets, F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket")))
-    stars = saved(sent.mapInArrow(_stars, STARS), "stars")
+    to = rows.filter("vertex IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("vertex").alias("vertex"))
 
     def of_vertices(pairs: DataFrame, *keep: str) -> DataFrame:
         left = to.select(F.col("id").alias("a"), F.col("vertex").alias("va"))
@@ -485,8 +500,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         found = pairs.join(left, "a").join(right, "b")
         return found.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), *keep)
 
-    sure = of_vertices(stars.filter("key IS NULL").select("a", "b").distinct())
-    stars = saved(of_vertices(stars.filter("key IS NOT NULL"), "key", "open"), "candidates")
+    sure = of_vertices(met.filter(F.col("kind") == LINKS).select("a", "b").distinct())
+    stars = saved(of_vertices(met.filter("kind = 0"), "key", "open", "many"), "candidates")
     first = _verified(stars.filter("a <> b").select("a", "b").distinct(), known, vertices, words, percent)
     links = saved(sure.unionByName(first), "verified")
     roots = components(links)
@@ -496,20 +511,26 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         r = roots.select(F.col("vertex").alias("rv"), F.col("root").alias("rr"))
         return df.join(r, F.col(column) == F.col("rv"), "left").withColumn(name, F.coalesce("rr", column)).drop("rv", "rr")
 
-    apart = rooted(rooted(stars.filter("open"), "a", "ra"), "b", "rb").filter("ra <> rb").select("key").distinct()
-    apart = saved(apart, "open")
+    apart = rooted(rooted(stars.filter("open"), "a", "ra"), "b", "rb").filter("ra <> rb")
+    apart = saved(apart.groupBy("key").agg(F.max("many").alias("many")), "apart")
     if apart.isEmpty():
         final = roots
     else:
-        marked = spark.sparkContext.broadcast(_bits(apart.mapInArrow(_open_cells, "cell bigint")))
-        entries = known.mapInArrow(_members(words, percent, marked), "key bigint, id bigint, probe boolean, resident boolean")
-        entries = entries.join(apart, "key", "left_semi").join(to, "id")
-        entries = rooted(entries.groupBy("key", "vertex").agg(F.max("probe").alias("probe"), F.max("resident").alias("resident")), "vertex", "root")
-        entries = saved(entries, "entries")
-        left = entries.select("key", F.col("vertex").alias("a"), F.col("root").alias("ra"), F.col("probe").alias("pa"), F.col("resident").alias("sa"))
-        right = entries.select("key", F.col("vertex").alias("b"), F.col("root").alias("rb"), F.col("probe").alias("pb"), F.col("resident").alias("sb"))
-        pairs = left.join(right, "key").filter("ra < rb AND (pa OR pb) AND (sa OR sb)")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        here = stars.filter("open").join(apart.select("key"), "key", "left_semi")
+        ends = here.select("key", F.col("a").alias("vertex")).unionByName(here.select("key", F.col("b").alias("vertex")))
+        # At keys where a task has left out members of a group, these are read again; they share a component with an entry.
+        hidden = apart.filter("many").select("key")
+        wanted = rooted(ends.join(hidden, "key", "left_semi").select("vertex").distinct(), "vertex", "root").select("root").distinct()
+        members = rooted(to, "vertex", "root").join(wanted, "root", "left_semi").select("id", "vertex")
+        members = saved(members, "members")
+        cells = members.select(F.pmod(F.xxhash64("id"), F.lit(WANTED)).alias("cell"))
+        few, keys = (spark.sparkContext.broadcast(_bits(x)) for x in (cells, hidden.mapInArrow(_open_cells, "cell bigint")))
+        again = known.filter(_within(few, "id")).mapInArrow(_members(words, percent, keys), "key bigint, id bigint")
+        again = again.join(hidden, "key", "left_semi").join(members, "id").select("key", "vertex")
+        entries = saved(rooted(ends.unionByName(again).distinct(), "vertex", "root"), "entries")
+        left = entries.select("key", F.col("vertex").alias("a"), F.col("root").alias("ra"))
+        right = entries.select("key", F.col("vertex").alias("b"), F.col("root").alias("rb"))
+        pairs = left.join(right, "key").filter("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         tried = stars.select("a", "b").distinct()
         second = _verified(pairs.join(tried, ["a", "b"], "left_anti"), known, vertices, words, percent)
         final = components(links.unionByName(second))
@@ -525,4 +546,4 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_column: s
     """The rows that are the first of their component, or that have no identifier, whole."""
     found = linked(docs, words, percent, id_column, text_column)
     gone = found.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_column] == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs[id_column] == gone["gone_id"], "left_anti")

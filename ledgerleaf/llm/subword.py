@@ -32,7 +32,8 @@ from ledgerleaf.llm.bpe import small_batches
 TRAIN_ROWS = 2_000
 BUCKETS, SIZE, GRAMS = 1 << 16, 16, (3, 4, 5)
 EPOCHS, RATE, SEED = 5, 2.0, 7
-WORDS = 600_000
+#: Distinct words remembered by a task, bytes of text read at once.
+WORDS, TEXT = 300_000, 4 << 20
 #: Bucket of a word that repeats the one before.
 AGAIN = 0
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -91,7 +92,7 @@ def pair_buckets(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> tup
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct buckets and their counts for each training text."""
-    for b in small_batches(batches):
+    for b in small_batches(batches, TEXT):
         words = Words()
         texts = b.column(0).to_pylist()
         ids, counts, fresh = words(texts)
@@ -148,7 +149,9 @@ def fit(rows: DataFrame, share: float | None) -> tuple[np.ndarray, float]:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for b in batches:
-            found += [(np.asarray(x), np.asarray(n), y) for x, n, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
+            edges = np.cumsum([0, *b.column(0).value_lengths().to_pylist()])
+            at, times = (b.column(k).flatten().to_numpy().astype(np.int32) for k in (0, 1))
+            found += [(at[x:y], times[x:y], label) for x, y, label in zip(edges, edges[1:], b.column(2).to_pylist())]
         if 0 < sum(y for *_, y in found) < len(found):
             found.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
             number, bias = train(found, share)
@@ -162,22 +165,22 @@ def fit(rows: DataFrame, share: float | None) -> tuple[np.ndarray, float]:
     return np.frombuffer(model[0].number, "<f4"), model[0].bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_column: str = "text") -> DataFrame:
-    """All columns and ``score``, the probability of label 1."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text_column: str = "text", name: str = "score") -> DataFrame:
+    """All columns and ``name``, the probability of label 1."""
     number, bias = model
-    names = docs.columns
-    held = docs.select(F.col(text_column).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    names, text = docs.columns, docs.columns.index(text_column)
+    held = docs.select(*((F.col(f"`{c}`").cast("string") if i == text else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)))
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(held.schema))
     # The model is 256 kB, whatever the input.
     shared = docs.sparkSession.sparkContext.broadcast((np.asarray(number, np.float64), bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, bias = shared.value
         words, total, size = Words(), np.zeros(0), np.zeros(0, np.int64)
-        for b in small_batches(batches):
+        for b in small_batches(batches, TEXT):
             if len(words.number) > WORDS:
                 words, total, size = Words(), np.zeros(0), np.zeros(0, np.int64)
-            ids, counts, fresh = words(b.column(0).to_pylist())
+            ids, counts, fresh = words(b.column(text).to_pylist())
             if fresh:
                 flat, n, hashes = word_features(fresh)
                 sums = np.add.reduceat(z[flat], np.cumsum(n) - n)
@@ -187,7 +190,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_column: str = "
             up = np.bincount(owner, total[ids], len(counts)) + np.bincount(pair_owner, z[pairs], len(counts))
             parts = np.bincount(owner, size[ids], len(counts)) + np.bincount(pair_owner, minlength=len(counts))
             out = 1 / (1 + np.exp(-np.clip(up / np.maximum(parts, 1) + bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out)], names=[*(f"c{i}" for i in range(len(names))), "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*(f"c{i}" for i in range(len(names))), "score"])
 
     scored = held.mapInArrow(run, f"{kinds}, score double")
-    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "score")
+    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("score").alias(name))
