@@ -31,7 +31,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -79,7 +79,7 @@ class Shingler:
         known = len(self.number)
         split = [(t or "").encode().lower().split() for t in texts]
         sizes = list(map(len, split))
-        ids = np.fromiter((self.number[w] for ws in split for w in ws), np.int64, sum(sizes))
+        ids = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
         if len(self.number) > known:
             fresh = list(self.number)[known:]
             self.hash = np.concatenate([self.hash, np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))])
@@ -91,7 +91,8 @@ class Shingler:
         out, at = [], 0
         for size in sizes:
             if size >= k:
-                out.append(np.unique(rolled[at : at + size - k + 1]))
+                one = np.sort(rolled[at : at + size - k + 1])
+                out.append(one[np.append(True, one[1:] != one[:-1])])
             elif size:
                 one = np.full(1, size, np.uint64)
                 for x in h[at : at + size]:

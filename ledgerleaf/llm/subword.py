@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +76,7 @@ class Words:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         known, split = len(self.number), [(t or "").split() for t in texts]
-        ids = np.fromiter((self.number[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
+        ids = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         return ids, np.fromiter(map(len, split), np.int64, len(split)), list(self.number)[known:] if len(self.number) > known else []
 
 
