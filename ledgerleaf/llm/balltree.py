@@ -144,7 +144,7 @@ class Best:
             ask = ask[self.open(tree, node, ask, self.bound(tree, node, ask))]
             if not len(ask):
                 continue
-            begin, end, left, right = tree.nodes[node].tolist()
+            begin, end, left, right = map(int, tree.nodes[node])
             if left < 0:
                 self.read(tree, begin, end, ask)
                 continue

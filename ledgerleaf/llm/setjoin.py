@@ -34,7 +34,6 @@ from functools import cache
 from itertools import chain, count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,7 +44,7 @@ from ledgerleaf.llm.bpe import small_batches
 from ledgerleaf.llm.components import components
 
 #: Shingles that a task resolves together, words it remembers, bits of a set's parity map.
-TOKENS, WORDS, BITS = 1_200_000, 300_000, 256
+TOKENS, WORDS, BITS = 700_000, 300_000, 256
 #: Bytes of text that are cut into words at once, and buckets of keys for each partition.
 TEXT, SPREAD = 4 << 20, 2
 #: A subset with one shingle less is taken to be shared by so many times more sets.
@@ -405,15 +404,16 @@ def _bits(cells: DataFrame) -> np.ndarray:
     return out
 
 
-def _within(marked, column: str):
-    """Column condition by such a map, tested in batches."""
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``id`` may be wanted: all that are, and few others while the bounded map isn't full.
 
-    @F.pandas_udf("boolean")
-    def test(cell: pd.Series) -> pd.Series:
-        c = cell.to_numpy()
-        return pd.Series((marked.value[c >> 6] >> (c & 63)) & 1 == 1)
-
-    return test(F.pmod(F.xxhash64(column), F.lit(WANTED)))
+    What is broadcast is the map, at most ``WANTED`` / 64 rows, whatever the input.
+    """
+    cell = F.pmod(F.xxhash64("id"), F.lit(WANTED))
+    words = wanted.select(cell.alias("cell")).groupBy((F.col("cell") / 64).cast("int").alias("word"))
+    bits = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 AS int))")).alias("bits"))
+    tested = rows.withColumn("cell", cell).join(F.broadcast(bits), (F.col("cell") / 64).cast("int") == F.col("word"))
+    return tested.filter("(bits & shiftleft(1L, cast(cell % 64 AS int))) <> 0").select(*rows.columns)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -442,8 +442,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int,
 
     close = saved(both.mapInArrow(near, "a bigint, b bigint"), "near")
     ends = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    marked = close.sparkSession.sparkContext.broadcast(_bits(ends.select(F.pmod(F.xxhash64("id"), F.lit(WANTED)).alias("cell"))))
-    sets = saved(_sets(texts.filter(_within(marked, "id")).join(ends, "id", "left_semi"), words), "sets").dropDuplicates(["id"])
+    sets = saved(_sets(_likely(texts, ends).join(ends, "id", "left_semi"), words), "sets").dropDuplicates(["id"])
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -524,9 +523,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         wanted = rooted(ends.join(hidden, "key", "left_semi").select("vertex").distinct(), "vertex", "root").select("root").distinct()
         members = rooted(to, "vertex", "root").join(wanted, "root", "left_semi").select("id", "vertex")
         members = saved(members, "members")
-        cells = members.select(F.pmod(F.xxhash64("id"), F.lit(WANTED)).alias("cell"))
-        few, keys = (spark.sparkContext.broadcast(_bits(x)) for x in (cells, hidden.mapInArrow(_open_cells, "cell bigint")))
-        again = known.filter(_within(few, "id")).mapInArrow(_members(words, percent, keys), "key bigint, id bigint")
+        keys = spark.sparkContext.broadcast(_bits(hidden.mapInArrow(_open_cells, "cell bigint")))
+        again = _likely(known, members.select("id").distinct()).mapInArrow(_members(words, percent, keys), "key bigint, id bigint")
         again = again.join(hidden, "key", "left_semi").join(members, "id").select("key", "vertex")
         entries = saved(rooted(ends.unionByName(again).distinct(), "vertex", "root"), "entries")
         left = entries.select("key", F.col("vertex").alias("a"), F.col("root").alias("ra"))
