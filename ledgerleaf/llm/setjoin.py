@@ -44,7 +44,9 @@ from ledgerleaf.llm.bpe import small_batches
 from ledgerleaf.llm.components import components
 
 #: Shingles that a task resolves together, words it remembers, bits of a set's parity map.
-TOKENS, WORDS, BITS = 700_000, 300_000, 256
+TOKENS, WORDS, BITS = 700_000, 300_000, 512
+#: Entries of a key that are compared together; a key with more is cut into blocks that meet pairwise.
+BLOCK = 1_000
 #: Bytes of text that are cut into words at once, and buckets of keys for each partition.
 TEXT, SPREAD = 4 << 20, 2
 #: A subset with one shingle less is taken to be shared by so many times more sets.
@@ -478,6 +480,52 @@ def _open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cell)], names=["cell"])
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in which each map of ``a`` differs from each of ``b``."""
+    return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int64) for k in range(a.shape[1]))
+
+
+def _close_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of vertices of one key and several roots that sizes and maps let be linked.
+
+    The entries of a key are dealt into blocks by hash; each two blocks meet in a cell of their own.
+    """
+    blocks = entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = entries.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "vertex", "root", "n", "map")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compare(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            block, vertex, root, n = (part.column(k).to_numpy() for k in ("block", "vertex", "root", "n"))
+            maps = np.frombuffer(b"".join(part.column("map").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            x, y = part.column("x")[0].as_py(), part.column("y")[0].as_py()
+            left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+            for at in range(0, len(left), 256):
+                i = left[at : at + 256]
+                may = _apart(maps[i], maps[right]) * (100 + percent) <= (100 - percent) * (n[i][:, None] + n[right][None, :])
+                may &= root[i][:, None] != root[right][None, :]
+                p, q = np.nonzero(may)
+                a, b = vertex[i[p]], vertex[right[q]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            key, x, y = (batch.column(k).to_numpy() for k in ("key", "x", "y"))
+            begin = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(key)] if len(key) else [0]
+            for a, b in zip(begin, begin[1:]):
+                part = batch.slice(a, b - a)
+                if held and any(held[0].column(k)[0] != part.column(k)[0] for k in ("key", "x", "y")):
+                    yield from compare(pa.concat_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from compare(pa.concat_batches(held))
+
+    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(meet, "a bigint, b bigint")
+
+
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column, n_shingles, component_id`` of every row: sets linked at a Jaccard similarity of ``percent`` / 100."""
     spark = docs.sparkSession
@@ -527,9 +575,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         again = _likely(known, members.select("id").distinct()).mapInArrow(_members(words, percent, keys), "key bigint, id bigint")
         again = again.join(hidden, "key", "left_semi").join(members, "id").select("key", "vertex")
         entries = saved(rooted(ends.unionByName(again).distinct(), "vertex", "root"), "entries")
-        left = entries.select("key", F.col("vertex").alias("a"), F.col("root").alias("ra"))
-        right = entries.select("key", F.col("vertex").alias("b"), F.col("root").alias("rb"))
-        pairs = left.join(right, "key").filter("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = _close_pairs(entries.join(vertices.select(F.col("id").alias("vertex"), "n", "map"), "vertex"), percent).distinct()
         tried = stars.select("a", "b").distinct()
         second = _verified(pairs.join(tried, ["a", "b"], "left_anti"), known, vertices, words, percent)
         final = components(links.unionByName(second))

@@ -60,6 +60,7 @@ def corpus(seed, n, hot=0):
 @pytest.mark.parametrize(("k", "percent", "hot", "tokens"), [(4, 85, 60, 300), (5, 80, 60, 5_000_000)])
 def test_components_equal_brute_force(spark, monkeypatch, k, percent, hot, tokens):
     monkeypatch.setattr(setjoin, "TOKENS", tokens)
+    monkeypatch.setattr(setjoin, "BLOCK", 5)
     rows = corpus(k, 260, hot)
     rows += [(100_000, "A B\tc d e f g h"), (100_001, "a b c d  E f g h"), (100_002, "Ä B c d e f g h"), (100_003, None), (100_004, " \n")]
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, vertex int, n string").repartition(6)
