@@ -30,12 +30,13 @@ def local_session(cores: int = 8, name: str = "ledgerleaf", **conf: str) -> Spar
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Let long projections leave whole-stage code generation.
+    """Settings of every run: split long projections, bounded batches for Python.
 
-    Methods above 8000 bytes of byte code are never compiled by the JVM. Beyond that
+    Arrow batches are bounded in bytes, as rows may hold very long texts. Methods above 8000 bytes of byte code are never compiled by the JVM. Beyond that
     size Spark's split projections run several times faster than one fused method.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 

@@ -42,8 +42,12 @@ def pair_distance(metric: str):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         if len(a) == 0:
             return pd.Series([], dtype="float64")
-        rows = np.stack(a.to_numpy()).astype("float64")
-        return pd.Series(block_distance(np.stack(b.to_numpy()).astype("float64"), rows, metric))
+        out, sizes = np.full(len(a), np.nan), a.map(len).to_numpy()
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            rows, asked = (np.stack(x.to_numpy()[at]).astype("float64") for x in (a, b))
+            out[at] = block_distance(asked, rows, metric)
+        return pd.Series(out)
 
     return run
 

@@ -1,73 +1,74 @@
-"""Approximate scoped search: random-hyperplane sketches in front of exact scoring.
+"""Approximate scoped search: cells of a k-means partition in front of exact scoring.
 
-Each vector gets a short bit sketch; a request looks only at rows whose sketch
-differs from its own in at most ``radius`` bits, and those are scored exactly.
-Rows are filtered in place: no pair of rows is ever emitted, and a sketch that a
-third of all rows share costs no more than a scan of these rows.
+Cells are learned once from a bounded sample and stored with the rows. A request probes the
+cells nearest to its vector; rows are found by an equi-join on workspace, document and
+cell, and only those are scored, exactly. The share of rows that is scored is about
+``probes / cells``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.vectors import pair_distance
-from ledgerleaf.operators.retrieve import _cleaned, _ranked
+from ledgerleaf.operators.retrieve import _cleaned, _ranked, with_payload
 
-MAX_BITS = 62
+#: Rows at most that the cells are learned from.
+SAMPLE_ROWS = 20_000
+CELLS, PROBES = 32, 18
 
 
-def sketch(vector: Column, dimensions: int, bits: int = 16, seed: int = 17) -> Column:
-    """Signs of ``bits`` seeded random projections, as the bits of a bigint."""
-    if not 1 <= bits <= MAX_BITS:
-        raise ValueError(f"bits must lie between 1 and {MAX_BITS}")
-    planes = np.random.default_rng(seed).standard_normal((dimensions, bits))
-    weights = 1 << np.arange(bits, dtype="int64")
+def fit_cells(vectors: DataFrame, dimensions: int, cells: int = CELLS, seed: int = 17) -> np.ndarray:
+    """Centres of the cells, from at most ``SAMPLE_ROWS`` rows picked by hash."""
+    usable = vectors.filter(F.size("vector") == dimensions).select("record_id", F.col("vector").cast("array<double>").alias("vector"))
+    sample = usable.filter(~F.exists("vector", lambda x: x.isNull() | F.isnan(x))).orderBy(F.xxhash64("record_id"), "record_id").limit(SAMPLE_ROWS)
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(sample.select(array_to_vector("vector").alias("features")))
+    return np.array(model.clusterCenters())
 
-    @F.pandas_udf("bigint")
-    def signs(vectors: pd.Series) -> pd.Series:
-        block = np.stack([np.asarray(v, dtype="float64") for v in vectors])
-        return pd.Series((block @ planes > 0) @ weights)
 
-    return F.when(F.size(vector) == dimensions, signs(vector))
+def nearest_cells(vector: Column, centres: np.ndarray, n: int) -> Column:
+    """The ``n`` cells whose centres are nearest; null for vectors of another size."""
 
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        out: list = [None] * len(vectors)
+        at = [i for i, v in enumerate(vectors) if v is not None]
+        if at:
+            block = np.stack([np.asarray(vectors.iloc[i], "float64") for i in at])
+            far = (centres**2).sum(axis=1) - 2 * block @ centres.T
+            for i, order in zip(at, np.argsort(far, axis=1, kind="stable")[:, :n]):
+                out[i] = order.astype("int32")
+        return pd.Series(out, dtype=object)
 
-def with_sketch(vectors: DataFrame, dimensions: int, **options: int) -> DataFrame:
-    """Store the sketch beside the vector, so that a search does not recompute it."""
-    usable = vectors.filter(F.size("vector") == dimensions)
-    return usable.withColumn("sketch", sketch(F.col("vector"), dimensions, **options))
+    return cells(F.when(F.size(vector) == centres.shape[1], vector))
 
 
-def approx_top_k(
-    sketched: DataFrame,
-    requests: DataFrame,
-    dimensions: int,
-    *,
-    radius: int = 5,
-    metric: str = "l2sq",
-    **options: int,
-) -> DataFrame:
-    """Approximate form of :func:`retrieve.top_k` over rows from :func:`with_sketch`."""
+def with_cell(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Store the cell beside the vector, so that a search does not compute it again."""
+    usable = vectors.filter(F.size("vector") == centres.shape[1])
+    return usable.withColumn("cell", F.get(nearest_cells(F.col("vector"), centres, 1), F.lit(0)))
+
+
+def approx_top_k(celled: DataFrame, requests: DataFrame, centres: np.ndarray, *, probes: int = PROBES, metric: str = "l2sq") -> DataFrame:
+    """Approximate form of :func:`retrieve.top_k` over rows from :func:`with_cell`."""
     asked = (
         _cleaned(requests)
-        .filter(F.size("query_embedding") == dimensions)
-        .withColumn("asked_sketch", sketch(F.col("query_embedding"), dimensions, **options))
+        .filter(F.size("query_embedding") == centres.shape[1])
+        .withColumn("cell", F.explode(nearest_cells(F.col("query_embedding"), centres, probes)))
         .withColumn("document_id", F.explode("scope"))
         .drop("scope")
     )
-    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("asked_sketch"))) <= radius
-    found = (
-        sketched.select("workspace_id", "document_id", "record_id", "vector", "sketch")
-        .join(asked, ["workspace_id", "document_id"])
-        .filter(near)
-        .select(
-            "query_id", "record_id", "top_k",
-            pair_distance(metric)(F.col("vector"), F.col("query_embedding")).alias("distance"),
-        )
+    found = celled.select("workspace_id", "document_id", "cell", "record_id", "vector").join(asked, ["workspace_id", "document_id", "cell"])
+    scored = found.select(
+        "query_id", "workspace_id", "document_id", "record_id", "top_k",
+        pair_distance(metric)(F.col("vector"), F.col("query_embedding")).alias("distance"),
     )
-    return _ranked(found)
+    return with_payload(celled, _ranked(scored))
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def request_error(
     if check_vector:
         size = F.coalesce(F.size("query_embedding"), F.lit(0))
         error = error.when(size <= 0, "missing_vector").when(size != dimensions, "dimension_mismatch")
-    top_k = F.coalesce(F.col("top_k"), F.lit(0))
+    top_k = F.coalesce(F.col("top_k"), F.lit(K.DEFAULT_TOP_K))
     return error.when(top_k <= 0, "top_k_too_small").when(top_k > max_top_k, "top_k_too_large")
 
 
@@ -56,7 +56,7 @@ def _cleaned(requests: DataFrame) -> DataFrame:
         text.strip(F.col("workspace_id")).alias("workspace_id"),
         F.array_distinct(F.transform("selected_document_ids", text.strip)).alias("scope"),
         "query_embedding",
-        F.col("top_k").cast("int").alias("top_k"),
+        F.coalesce(F.col("top_k").cast("int"), F.lit(K.DEFAULT_TOP_K)).alias("top_k"),
     )
 
 
@@ -66,7 +66,7 @@ def scope_rows(requests: DataFrame) -> DataFrame:
 
 
 def in_scope(vectors: DataFrame, requests: DataFrame) -> DataFrame:
-    """Vector rows paired with the requests whose scope holds their document."""
+    """Vector rows, or rows per document, paired with the requests whose scope holds their document."""
     return vectors.join(scope_rows(requests), ["workspace_id", "document_id"])
 
 
@@ -91,14 +91,18 @@ class _Request:
     scopes: frozenset[int]
 
 
-def _best(found: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of (distances, record ids), ties by record id; nothing else is cut."""
-    dist, rec = found
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _best(found: Found, k: int) -> Found:
+    """The k nearest of (distances, record ids, scopes), ties by record id; distances that are no number come last."""
+    dist, rec, scope = found
+    far = np.where(np.isnan(dist), np.inf, dist)
     if len(dist) > k:
-        near = dist <= np.partition(dist, k - 1)[k - 1]
-        dist, rec = dist[near], rec[near]
-    order = np.lexsort((rec, dist))[:k]
-    return dist[order], rec[order]
+        near = far <= np.partition(far, k - 1)[k - 1]
+        dist, rec, scope, far = dist[near], rec[near], scope[near], far[near]
+    order = np.lexsort((scope, rec, np.isnan(dist), far))[:k]
+    return dist[order], rec[order], scope[order]
 
 
 def _block_scorer(requests: list[_Request], metric: str, schema: pa.Schema):
@@ -107,11 +111,15 @@ def _block_scorer(requests: list[_Request], metric: str, schema: pa.Schema):
         for s in r.scopes:
             by_scope[s].append(i)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
+            sizes = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes):
+                yield batch.filter(pa.array(sizes == n))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, Found] = {}
+        for batch in by_size(batches):
             scope = batch.column("scope_no").to_numpy(zero_copy_only=False)
             vector = batch.column("vector")
             flat = vector.flatten().to_numpy(zero_copy_only=False)
@@ -120,7 +128,7 @@ def _block_scorer(requests: list[_Request], metric: str, schema: pa.Schema):
             order = np.argsort(scope, kind="stable")
             present, starts = np.unique(scope[order], return_index=True)
             rows_of = dict(zip(present.tolist(), np.split(order, starts[1:])))
-            wanted = {i for s in rows_of for i in by_scope[s]}
+            wanted = {i for s in rows_of for i in by_scope[s] if len(requests[i].vector) == block.shape[1]}
             for i in wanted:
                 r = requests[i]
                 rows = np.concatenate([rows_of[s] for s in r.scopes if s in rows_of])
@@ -129,13 +137,15 @@ def _block_scorer(requests: list[_Request], metric: str, schema: pa.Schema):
                 if seen is not None:
                     dist = np.concatenate([seen[0], dist])
                     names = np.concatenate([seen[1], record[rows]])
+                    where = np.concatenate([seen[2], scope[rows]])
                 else:
-                    names = record[rows]
-                best[i] = _best((dist, names), r.top_k)
-        for i, (dist, names) in best.items():
+                    names, where = record[rows], scope[rows]
+                best[i] = _best((dist, names, where), r.top_k)
+        for i, (dist, names, where) in best.items():
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([i] * len(dist), type=pa.int32()),
+                    pa.array(where, type=pa.int32()),
                     pa.array(names.tolist(), type=pa.string()),
                     pa.array(dist, type=pa.float64()),
                 ],
@@ -146,7 +156,7 @@ def _block_scorer(requests: list[_Request], metric: str, schema: pa.Schema):
 
 
 def _ranked(found: DataFrame) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("distance", "record_id")
+    w = Window.partitionBy("query_id").orderBy("distance", "record_id", "document_id")
     # The literal bound lets the planner put a group limit before the shuffle.
     return (
         found.withColumn("rank", F.row_number().over(w))
@@ -180,20 +190,21 @@ def _block_plan(
         names = [r["b"] for r in touched.collect()]  # at most `buckets` values
         pruned = pruned.filter(F.col("bucket").isin(names))
     if held:
-        pruned = pruned.filter(F.size("vector") == len(held[0].vector))
+        pruned = pruned.filter(F.size("vector").isin(sorted({len(r.vector) for r in held})))
 
-    schema = pa.schema([("query_no", pa.int32()), ("record_id", pa.string()), ("distance", pa.float64())])
+    schema = pa.schema([("query_no", pa.int32()), ("scope_no", pa.int32()), ("record_id", pa.string()), ("distance", pa.float64())])
     found = (
         pruned.select("workspace_id", "document_id", "record_id", "vector")
         .join(F.broadcast(scope), ["workspace_id", "document_id"])  # at most MAX_BLOCK_SCOPES rows
         .select("scope_no", "record_id", "vector")
-        .mapInArrow(_block_scorer(held, metric, schema), "query_no int, record_id string, distance double")
+        .mapInArrow(_block_scorer(held, metric, schema), "query_no int, scope_no int, record_id string, distance double")
     )
     id_type = requests.schema["query_id"].dataType.simpleString()
     names = spark.createDataFrame(
         [(i, r.query_id, r.top_k) for i, r in enumerate(held)], f"query_no int, query_id {id_type}, top_k int"
     )
-    ranked = _ranked(found.join(F.broadcast(names), "query_no").drop("query_no"))
+    named = found.join(F.broadcast(names), "query_no").join(F.broadcast(scope), "scope_no")
+    ranked = _ranked(named.drop("query_no", "scope_no"))
     # At most MAX_BLOCK_REQUESTS * MAX_TOP_K rows, so the table is not shuffled to fetch the payload.
     return pruned, F.broadcast(ranked)
 
@@ -204,8 +215,9 @@ def _join_plan(vectors: DataFrame, requests: DataFrame, metric: str) -> tuple[Da
         wanted, ["workspace_id", "document_id"]
     )
     found = pairs.filter(F.size("vector") == F.size("query_embedding")).select(
-        "query_id", "record_id", "top_k",
-        pair_distance(metric)(F.col("vector"), F.col("query_embedding")).alias("distance"),
+        "query_id", "workspace_id", "document_id", "record_id", "top_k",
+        # Python hands back null for a distance that is no number.
+        F.coalesce(pair_distance(metric)(F.col("vector"), F.col("query_embedding")), F.lit(float("nan"))).alias("distance"),
     )
     return vectors, _ranked(found)
 
@@ -236,13 +248,19 @@ def top_k(
         source, ranked = _block_plan(vectors, cleaned, metric, buckets)
     else:
         source, ranked = _join_plan(vectors, cleaned, metric)
+    return with_payload(source, ranked)
+
+
+def with_payload(source: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Ranked rows with their stored columns.
+
+    A record id alone is ambiguous: its parts may hold the mark that joins them.
+    """
     payload = source.select(
         "record_id", "workspace_id", "document_id", "chunk_id", "chunk_index", "document_type",
         F.coalesce("text_content", F.lit("")).alias("text_content"),
     )
-    return payload.join(ranked, "record_id").select(
-        "query_id", "rank", "distance", *payload.columns
-    )
+    return payload.join(ranked, ["workspace_id", "document_id", "record_id"]).select("query_id", "rank", "distance", *payload.columns)
 
 
 def totals(hits: DataFrame, requests: DataFrame) -> DataFrame:

@@ -112,15 +112,19 @@ def records(vectors: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     )
 
 
+#: Record ids alone are ambiguous: parts may hold the mark that joins them.
+KEY = ["workspace_id", "document_id", "record_id"]
+
+
 def newest(rows: DataFrame, version: str | None = None) -> DataFrame:
     """One row per record id. A limit of 1 per group runs before the shuffle."""
     order = [F.col(version).desc()] if version else []
-    w = Window.partitionBy("record_id").orderBy(*order, F.col("chunk_index"), F.col("text_content"))
+    w = Window.partitionBy(*KEY).orderBy(*order, F.col("chunk_index"), F.col("text_content"))
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def _merge(existing: DataFrame, batch: DataFrame, replace_document: bool) -> DataFrame:
-    key = ["workspace_id", "document_id"] if replace_document else ["record_id"]
+    key = ["workspace_id", "document_id"] if replace_document else KEY
     kept = existing.join(batch.select(*key), key, "left_anti")
     return kept.unionByName(batch.select(*kept.columns))
 

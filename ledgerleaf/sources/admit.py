@@ -83,7 +83,7 @@ def suffix(name: Column) -> Column:
 def suffixes(name: Column) -> Column:
     """All extensions in lower case; none for a name that ends in a dot."""
     parts = F.split(F.regexp_replace(F.lower(name), r"^\.+", ""), r"\.")
-    dotted = F.transform(F.slice(parts, 2, 1000), lambda p: F.concat(F.lit("."), p))
+    dotted = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.lit("."), p))
     return F.when(F.endswith(name, F.lit(".")), F.array().cast("array<string>")).otherwise(dotted)
 
 
@@ -156,17 +156,17 @@ def split_admitted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done.filter("reject_reason is null"), done.filter("reject_reason is not null")
 
 
-def catalog(admitted: DataFrame) -> DataFrame:
-    """Catalog rows of admitted files.
-
-    The document id is a name-based UUID over workspace, path and content digest, so
-    that a rerun gives the same document the same id. Needs workspace_id, path,
-    content and the columns of :func:`checked`.
-    """
+def document_id() -> Column:
+    """Name-based UUID over workspace, path and content digest, so that a rerun gives the same document the same id."""
     # Lengths in front keep the parts apart: no two inputs share a name.
     part = lambda c: F.concat(F.length(c).cast("string"), F.lit("|"), c)
     name = F.concat(part(F.col("workspace_id")), part(F.col("path")), F.sha2("content", 256))
-    return admitted.withColumn("document_id", ids.name_uuid(name)).select(
+    return ids.name_uuid(name)
+
+
+def catalog(admitted: DataFrame) -> DataFrame:
+    """Catalog rows of admitted files. Needs workspace_id, path, content and the columns of :func:`checked`."""
+    return admitted.withColumn("document_id", document_id()).select(
         "document_id",
         "workspace_id",
         "path",

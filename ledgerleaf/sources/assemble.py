@@ -2,10 +2,9 @@
 
 Decoders of worksheet, word and paged formats deliver their content in long form,
 one row per cell, paragraph or page. Here the rows of a document become its pages
-and tables. A document is bounded by the admission limit of 10 MiB: documents whose
-rows add up to more are found by a plain sum first (combined before the shuffle),
-are kept out of every grouping, and end as rejected documents with that reason, just
-as a file of that size would.
+and tables. How large a file may be is decided at admission, by its own size; what it
+decodes to is not judged again. Columns are numbered from zero, and a cell that is not
+delivered leaves its place empty, so a row never shifts.
 """
 
 from __future__ import annotations
@@ -13,35 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf import constants as K
 from ledgerleaf import schemas
 from ledgerleaf.functions import text
 
-OVERSIZE = f"File size exceeds maximum allowed limit of {K.MAX_FILE_BYTES / (1024 * 1024):.1f} MB."
-
-
-def oversize_documents(*relations: tuple[DataFrame, str], limit: int = K.MAX_FILE_BYTES) -> DataFrame:
-    """Ids of documents whose rows hold more than ``limit`` bytes in one relation or all.
-
-    Every row counts one byte more than its text, for its separator.
-    """
-    sizes = None
-    for df, column in relations:
-        size = F.coalesce(F.octet_length(column), F.lit(0)) + 1
-        part = df.groupBy("document_id").agg(F.sum(size).alias("bytes"))
-        sizes = part if sizes is None else sizes.unionByName(part)
-    if len(relations) > 1:
-        sizes = sizes.groupBy("document_id").agg(F.sum("bytes").alias("bytes"))
-    return sizes.filter(F.col("bytes") > limit).select("document_id")
-
-
-def _within(df: DataFrame, oversize: DataFrame) -> DataFrame:
-    """Rows of bounded documents, placed by document.
-
-    One exchange on the document id serves every later grouping by document, table
-    and row; bounded documents cannot skew it.
-    """
-    return df.join(oversize, "document_id", "left_anti").repartition("document_id")
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows placed by document: one exchange serves every later grouping by document, table and row."""
+    return df.repartition("document_id")
 
 
 def _ordered(order: str, *fields: str) -> Column:
@@ -49,15 +25,27 @@ def _ordered(order: str, *fields: str) -> Column:
 
 
 def _table_rows(cells: DataFrame, *keys: str) -> DataFrame:
-    """Cells to rows of stripped strings; null cells become empty strings."""
+    """Cells to rows of ``(col_no, value)``, and the last column of each row; null cells become empty strings."""
     value = F.coalesce(text.strip(F.col("value").cast("string")), F.lit(""))
     return (
-        cells.withColumn("value", value)
+        cells.withColumns({"value": value, "col_no": F.col("col_no").cast("int")})
         .groupBy("document_id", *keys, "row_no")
-        .agg(F.transform(_ordered("col_no", "value"), lambda c: c["value"]).alias("row"))
+        .agg(_ordered("col_no", "value").alias("row"), F.max("col_no").alias("last_col"))
     )
 
 
+def _grid(row: Column, last_col: Column) -> Column:
+    """Values of a row in their columns."""
+    at = lambda i: F.get(F.filter(row, lambda c: c["col_no"] == i), F.lit(0))["value"]
+    return F.transform(F.sequence(F.lit(0), last_col), lambda i: F.coalesce(at(i), F.lit("")))
+
+
+def _table_grids(rows: DataFrame, *keys: str) -> DataFrame:
+    """Tables as full grids, rows in order."""
+    tables = rows.groupBy("document_id", *keys).agg(_ordered("row_no", "row").alias("r"), F.max("last_col").alias("last_col"))
+    return tables.withColumn("rows", F.transform("r", lambda r: _grid(r["row"], F.col("last_col")))).drop("r")
+
+
 def _table(rows: Column, index: Column, page: Column) -> Column:
     return F.struct(
         index.cast("int").alias("table_index"),
@@ -71,19 +59,9 @@ def _by_number(structs: Column, number: str) -> Column:
     return F.array_sort(structs, lambda a, b: a[number] - b[number])
 
 
-def _finish(df: DataFrame, oversize: DataFrame) -> DataFrame:
-    """Parsed-document columns, plus one rejected row per oversize document."""
-    rejected = oversize.select(
-        "document_id",
-        F.lit(0).alias("page_count"),
-        F.array().cast(schemas.PAGES).alias("pages"),
-        F.array().cast(schemas.TABLES).alias("tables"),
-        F.lit(None).cast(schemas.IMAGE).alias("image_metadata"),
-        F.create_map().cast(schemas.METADATA).alias("metadata"),
-        F.lit("FAILED").alias("parsing_status"),
-        F.lit(OVERSIZE).alias("parse_error"),
-    )
-    done = df.select(
+def _finish(df: DataFrame) -> DataFrame:
+    """Parsed-document columns."""
+    return df.select(
         "document_id",
         F.col("page_count").cast("int"),
         F.coalesce("pages", F.array()).cast(schemas.PAGES).alias("pages"),
@@ -93,7 +71,6 @@ def _finish(df: DataFrame, oversize: DataFrame) -> DataFrame:
         F.lit("SUCCESS").alias("parsing_status"),
         F.lit(None).cast("string").alias("parse_error"),
     )
-    return done.unionByName(rejected)
 
 
 def worksheets(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
@@ -108,12 +85,11 @@ def worksheets(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
         # A listed sheet counts as one row without text.
         empty = sheets.select("document_id", "sheet_no", "sheet_name", F.lit(-1).alias("row_no"), F.lit(0).alias("col_no"))
         cells = cells.unionByName(empty, allowMissingColumns=True)
-    big = oversize_documents((cells, "value"))
-    rows = _table_rows(_within(cells, big), "sheet_no", "sheet_name")
-    shown = F.when(F.exists("row", lambda x: x != ""), F.struct("row_no", "row"))
+    rows = _table_rows(_placed(cells), "sheet_no", "sheet_name")
+    shown = F.when(F.exists("row", lambda x: x["value"] != ""), F.struct("row_no", "row"))
     sheet = rows.groupBy("document_id", "sheet_no", "sheet_name").agg(
-        F.transform(F.sort_array(F.collect_list(shown)), lambda r: r["row"]).alias("rows")
-    )
+        F.sort_array(F.collect_list(shown)).alias("r"), F.max("last_col").alias("last_col")
+    ).withColumn("rows", F.transform("r", lambda r: _grid(r["row"], F.col("last_col"))))
     title = F.concat(F.lit("--- Worksheet: "), "sheet_name", F.lit(" ---"))
     body = F.concat_ws("\n", title, F.transform("rows", lambda r: F.array_join(r, " | ")))
     number, filled = F.col("sheet_no"), F.size("rows") > 0
@@ -132,7 +108,7 @@ def worksheets(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
             ),
         }
     )
-    return _finish(done, big)
+    return _finish(done)
 
 
 def _properties(properties: DataFrame | None, keys: tuple[str, ...]) -> Column:
@@ -151,17 +127,13 @@ def word_documents(
     Non-blank paragraphs are joined by blank lines to one page. ``properties`` holds
     document_id and a map of core properties.
     """
-    relations = [(paragraphs, "text")] + ([(cells, "value")] if cells is not None else [])
-    big = oversize_documents(*relations)
-    shown = _within(paragraphs, big).withColumn("text", text.strip(F.col("text")))
+    shown = _placed(paragraphs).withColumn("text", text.strip(F.col("text")))
     whole = shown.groupBy("document_id").agg(
         F.filter(F.transform(_ordered("para_no", "text"), lambda p: p["text"]), lambda x: x != "").alias("parts")
     )
     if cells is not None:
-        rows = _table_rows(_within(cells, big), "table_no")
-        table = rows.groupBy("document_id", "table_no").agg(
-            F.transform(_ordered("row_no", "row"), lambda r: r["row"]).alias("rows")
-        )
+        rows = _table_rows(_placed(cells), "table_no")
+        table = _table_grids(rows, "table_no")
         tables = table.groupBy("document_id").agg(
             _by_number(F.collect_list(_table(F.col("rows"), F.col("table_no"), F.lit(1))), "table_index").alias("tables")
         )
@@ -178,7 +150,7 @@ def word_documents(
             "metadata": _properties(properties, ("author", "title", "subject", "created", "modified")),
         }
     )
-    return _finish(done, big)
+    return _finish(done)
 
 
 def paged_documents(
@@ -189,15 +161,11 @@ def paged_documents(
 
     Tables are numbered across the pages of a document.
     """
-    relations = [(pages, "text")] + ([(cells, "value")] if cells is not None else [])
-    big = oversize_documents(*relations)
     page = F.struct(F.col("page_number").cast("int").alias("page_number"), text.strip(F.col("text")).alias("text"))
-    whole = _within(pages, big).groupBy("document_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    whole = _placed(pages).groupBy("document_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     if cells is not None:
-        rows = _table_rows(_within(cells, big), "page_number", "table_no")
-        table = rows.groupBy("document_id", "page_number", "table_no").agg(
-            F.transform(_ordered("row_no", "row"), lambda r: r["row"]).alias("rows")
-        )
+        rows = _table_rows(_placed(cells), "page_number", "table_no")
+        table = _table_grids(rows, "page_number", "table_no")
         ordered = F.sort_array(F.collect_list(F.struct("page_number", "table_no", "rows")))
         numbered = F.transform(ordered, lambda t, i: _table(t["rows"], i, t["page_number"]))
         whole = whole.join(table.groupBy("document_id").agg(numbered.alias("tables")), "document_id", "left")
@@ -211,4 +179,4 @@ def paged_documents(
             "metadata": _properties(properties, ("author", "title", "subject", "creator", "producer")),
         }
     )
-    return _finish(done, big)
+    return _finish(done)

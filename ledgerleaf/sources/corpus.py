@@ -4,9 +4,9 @@ One document per order, of one of 17 kinds, with planted faults. The texts are p
 SQL expressions that more than one engine can run, so a checker can make the same
 documents and compare what the operators read from them with the source numbers.
 
-An order with more than ``MAX_LINES`` lines is issued as several documents. Its lines
-are dealt out by their position in the file, so no document grows without bound even
-if one order holds a third of all lines, or a third of all lines are copies.
+An order with line numbers above ``MAX_LINES`` is issued as several documents: the line
+number alone says which, so the outcome doesn't depend on the layout of the files, and
+no count over the lines is needed. Ids of later parts name the part.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ledgerleaf import schemas
 from ledgerleaf.functions.stages import counted
 
 MAX_LINES = 1000
+PART = f"cast(floor((l_linenumber - 1) / {MAX_LINES}) as int)"
+PART_SUFFIX = "CASE WHEN part > 0 THEN concat('-', cast(part as string)) ELSE '' END"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
@@ -170,37 +172,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def document_parts(lines: DataFrame) -> DataFrame:
-    """Number of documents of the orders that need more than one."""
-    hot = lines.groupBy("l_orderkey").count().filter(F.col("count") > MAX_LINES)
-    return hot.select("l_orderkey", F.ceil(F.col("count") / MAX_LINES).alias("parts"))
-
-
 def order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Order lines and order heads, both keyed by order and document part."""
-    lines = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", *LINE_ORDER, F.col("_metadata.row_index").alias("row_index")
-    )
-    parts = document_parts(lines)
-    dealt = (
-        lines.join(parts, "l_orderkey", "left")
-        .withColumn("part", F.coalesce(F.pmod("row_index", "parts"), F.lit(0)))
-        .drop("parts", "row_index")
-        # Raw numbers are shuffled, and the cells are written behind the shuffle.
-        .repartition("l_orderkey", "part")
-    )
-    heads = (
-        read(spark, sf_dir, "orders")
-        .select(
-            F.col("o_orderkey").alias("l_orderkey"),
-            F.col("o_custkey").alias("custkey"),
-            F.col("o_orderdate").alias("orderdate"),
-        )
-        .join(parts, "l_orderkey", "left")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        .drop("parts")
+    """Order lines, keyed by order and document part, and order heads, keyed by order."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, F.expr(PART).alias("part"))
+    heads = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        F.col("o_custkey").alias("custkey"),
+        F.col("o_orderdate").alias("orderdate"),
     )
-    return dealt, heads
+    # Raw numbers are shuffled, and the cells are written behind the shuffle.
+    return lines.repartition("l_orderkey", "part"), heads
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -238,7 +219,7 @@ def business_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n_lines"),
         F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "row"))).alias("lines"),
     )
-    docs = grouped.join(heads, ["l_orderkey", "part"]).withColumnRenamed("l_orderkey", "key")
+    docs = grouped.join(heads, "l_orderkey").withColumnRenamed("l_orderkey", "key")
     docs = with_exprs(with_exprs(docs, DOCUMENT_COLUMNS), TEXT_COLUMNS)
 
     def page(number: int, body) -> object:

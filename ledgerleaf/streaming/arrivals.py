@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerleaf import schemas
 from ledgerleaf.sources import admit, decode
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -33,9 +34,15 @@ def as_uploads(files: DataFrame, workspace_id: str) -> DataFrame:
 
 
 def parsed_batch(files: DataFrame, workspace_id: str) -> DataFrame:
-    """Parsed documents of the admitted files of a batch, stable ids included."""
-    admitted, _ = admit.split_admitted(as_uploads(files, workspace_id))
-    return decode.parse_files(admit.catalog(admitted))
+    """Documents of a batch, stable ids included: parsed ones, and refused files with their reason."""
+    admitted, refused = admit.split_admitted(as_uploads(files, workspace_id))
+    parsed = decode.parse_files(admit.catalog(admitted))
+    rows = refused.withColumn("document_id", admit.document_id()).select(
+        "document_id", "workspace_id",
+        F.array().cast(schemas.PAGES).alias("pages"), F.array().cast(schemas.TABLES).alias("tables"),
+        F.lit(0).alias("page_count"), F.lit("FAILED").alias("parsing_status"), "reject_reason",
+    )
+    return parsed.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rows, allowMissingColumns=True)
 
 
 def ingest_arrivals(

@@ -69,10 +69,10 @@ cte(
 )
 cte(
     "d0",
-    f"""SELECT l_orderkey AS key, 0 AS part, o_custkey AS custkey, o_orderdate AS orderdate,
+    f"""SELECT l_orderkey AS key, {C.PART} AS part, o_custkey AS custkey, o_orderdate AS orderdate,
     sum(cents)::bigint AS subtotal_cents, count(*) AS n_lines,
     list(cells ORDER BY {', '.join(C.LINE_ORDER)}, cells) AS cell_rows
-    FROM orow JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_custkey, o_orderdate""",
+    FROM orow JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, part, o_custkey, o_orderdate""",
     "orow",
 )
 _previous = "d0"

@@ -93,22 +93,22 @@ FROM (SELECT *, regexp_split_to_array(replace(text, chr(13) || chr(10), chr(10))
 """
 _cell = "concat(l_returnflag, ', \"', l_linestatus, '\"', chr(10), ' second line')"
 SQL["a9_csv_documents"] = f"""
-SELECT concat('csv-', l_orderkey) AS document_id,
+SELECT concat('csv-', l_orderkey, {C.PART_SUFFIX}) AS document_id,
 concat('Name | Qty | Flags', chr(10), string_agg(concat('Part ', l_partkey, ' | ', l_quantity::bigint, ' | ', {_cell}), chr(10) ORDER BY {', '.join(C.LINE_ORDER)})) AS text,
 'Name/Qty/Flags' AS headers, count(*) AS data_rows, count(*) + 1 AS total_rows
-FROM lineitem GROUP BY l_orderkey
+FROM (SELECT *, {C.PART} AS part FROM lineitem) GROUP BY l_orderkey, part
 """
 SQL["a10_worksheets"] = f"""
 WITH numbered AS (
-  SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(C.LINE_ORDER)}) - 1 AS n,
+  SELECT l_orderkey, {C.PART} AS part, l_quantity, row_number() OVER (PARTITION BY l_orderkey, {C.PART} ORDER BY {', '.join(C.LINE_ORDER)}) - 1 AS n,
   concat('Part ', l_partkey, '@', l_quantity::bigint, '@@', l_returnflag) AS r FROM lineitem),
 sheets AS (
-  SELECT l_orderkey, n % 3 + 1 AS s, list(r ORDER BY n) FILTER (WHERE l_quantity <= 45) AS rs FROM numbered GROUP BY ALL)
-SELECT concat('wb-', l_orderkey) AS document_id,
+  SELECT l_orderkey, part, n % 3 + 1 AS s, list(r ORDER BY n) FILTER (WHERE l_quantity <= 45) AS rs FROM numbered GROUP BY ALL)
+SELECT concat('wb-', l_orderkey, {C.PART_SUFFIX}) AS document_id,
 coalesce(string_agg(concat(s, '=--- Worksheet: Sheet ', s, ' ---', chr(10), replace(array_to_string(rs, chr(10)), '@', ' | ')), chr(10) ORDER BY s) FILTER (WHERE rs IS NOT NULL), '') AS pages,
 coalesce(string_agg(concat(s - 1, ':', replace(rs[1], '@', '/'), '+', len(rs) - 1), ';' ORDER BY s) FILTER (WHERE rs IS NOT NULL), '') AS tables,
 string_agg(concat('Sheet ', s), ', ' ORDER BY s) AS sheet_names, count(rs) AS page_count
-FROM sheets GROUP BY l_orderkey
+FROM sheets GROUP BY l_orderkey, part
 """
 _first = "concat('0@', {page}, ':quality/toxic+', quality, '/', toxic, ';1@', {page}, ':only head/+')"
 SQL["a11_word_documents"] = f"""

@@ -16,7 +16,7 @@ SQL["i1_question_checks"] = query(
     len(list_filter(ids, lambda x: trim(x) <> '')) AS usable_ids FROM faulty""",
     "faulty",
 )
-cte("found", "SELECT * FROM hits_l2 WHERE query_id % 2000 < 1000", "hits_l2")
+cte("found", "SELECT * FROM hits_l2", "hits_l2")
 _n = "chr(10)"
 cte(
     "context",
@@ -32,7 +32,7 @@ SQL["i4_prompt"] = query(
     "req", "context",
 )
 SQL["i5_no_hit_answer"] = query(
-    f"SELECT query_id, {lit(K.NO_HIT_ANSWER)} AS answer FROM req WHERE query_id NOT IN (SELECT query_id FROM context)", "req", "context"
+    f"SELECT query_id, {lit(K.NO_HIT_ANSWER)} AS answer FROM req WHERE query_id % 2000 >= 1000 OR query_id NOT IN (SELECT query_id FROM context)", "req", "context"
 )
 SQL["i6_generated_answers"] = query(
     f"""SELECT query_id, CASE WHEN n IS NULL THEN {lit(K.NO_HIT_ANSWER)} WHEN top <> '' THEN top END AS answer,

@@ -105,7 +105,7 @@ def _csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nName , Qty,Flags\n,,\n"), F.array_join(F.transform("r", lambda x: x["csv_row"]), "\n\n"), F.lit("\n")
     )
     return files.select(
-        F.concat(F.lit("csv-"), F.col("l_orderkey").cast("string")).alias("document_id"),
+        F.concat(F.lit("csv-"), F.col("l_orderkey").cast("string"), F.expr(corpus.PART_SUFFIX)).alias("document_id"),
         F.lit("ws").alias("workspace_id"),
         F.lit("store/x.csv").alias("storage_path"),
         F.lit(".csv").alias("file_extension"),
@@ -132,7 +132,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = lines.groupBy("l_orderkey", "part").agg(
         F.sort_array(F.collect_list(F.struct(*corpus.LINE_ORDER))).alias("r")
     )
-    rows = files.select("l_orderkey", F.posexplode("r").alias("row_no", "x"))
+    rows = files.select("l_orderkey", "part", F.posexplode("r").alias("row_no", "x"))
     blank = F.expr("x.l_quantity > 45")
     value = lambda c: F.when(~blank, c)
     cells = F.array(
@@ -143,7 +143,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sheet = F.expr("cast(1 + row_no % 3 as int)")
     return rows.select(
-        F.concat(F.lit("wb-"), F.col("l_orderkey").cast("string")).alias("document_id"),
+        F.concat(F.lit("wb-"), F.col("l_orderkey").cast("string"), F.expr(corpus.PART_SUFFIX)).alias("document_id"),
         sheet.alias("sheet_no"),
         F.concat(F.lit("Sheet "), sheet.cast("string")).alias("sheet_name"),
         "row_no",

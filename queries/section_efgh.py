@@ -195,8 +195,8 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h2_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = retrieve.in_scope(_stored(spark, sf_dir).select("workspace_id", "document_id"), X.requests(spark, sf_dir))
-    return pairs.groupBy("query_id", "workspace_id", "document_id").agg(F.count("*").alias("candidates"))
+    held = _stored(spark, sf_dir).groupBy("workspace_id", "document_id").agg(F.count("*").alias("candidates"))
+    return retrieve.in_scope(held, X.requests(spark, sf_dir)).select("query_id", "workspace_id", "document_id", "candidates")
 
 
 def _hits(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -220,9 +220,9 @@ def h3_exact_top_k_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h4_approximate_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sketched = approx.with_sketch(_stored(spark, sf_dir), X.DIMENSIONS)
-    asked = X.requests(spark, sf_dir)
-    found = approx.approx_top_k(sketched, asked, X.DIMENSIONS)
+    rows, asked = _stored(spark, sf_dir), X.requests(spark, sf_dir)
+    centres = approx.fit_cells(rows, X.DIMENSIONS)
+    found = approx.approx_top_k(approx.with_cell(rows, centres), asked, centres)
     return approx.recall(found, _hits(spark, sf_dir))
 
 

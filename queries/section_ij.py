@@ -9,6 +9,7 @@ from ledgerleaf.functions import text, values
 from ledgerleaf.functions.session import new_path
 from ledgerleaf.operators import ask, embed, retrieve, store
 from ledgerleaf.plans import ingest, reports
+from ledgerleaf.sources import corpus
 from ledgerleaf.sources.corpus import read, texts
 from ledgerleaf.streaming import arrivals
 from queries import fixtures as X
@@ -29,10 +30,9 @@ def i2_question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Requests, and hits for those of even conversations only; the others find nothing."""
+    """Requests and their hits."""
     asked = X.requests(spark, sf_dir)
-    hits = retrieve.top_k(store.records(X.vectors(spark, sf_dir)), asked.filter("query_id % 2000 < 1000"))
-    return asked, hits
+    return asked, retrieve.top_k(store.records(X.vectors(spark, sf_dir)), asked)
 
 
 def i3_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ def i4_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i5_no_hit_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of odd conversations ask for documents that nobody stored."""
     asked, hits = _searched(spark, sf_dir)
+    hits = hits.filter("query_id % 2000 < 1000")
     replied = ask.generate(ask.with_context(asked, hits), lambda: ask.echo_generator())
     return replied.filter("total_sources_retrieved = 0").select("query_id", "answer")
 
@@ -75,10 +77,11 @@ def i9_scoped_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.extracted(spark, sf_dir).select(
         "workspace_id", "document_id", "key", values.amount(F.col("totals.grand_total")).alias("total_amt")
     )
-    heads = read(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 1").select(
+    parts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.expr(corpus.PART).alias("part")).distinct()
+    heads = read(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 1").join(parts, "o_orderkey", "left").withColumn("part", F.coalesce("part", F.lit(0))).select(
         F.col("o_custkey").alias("query_id"),
         F.concat(F.lit("ws-"), F.lpad((F.col("o_custkey") % 20).cast("string"), 2, "0")).alias("workspace_id"),
-        F.array(F.concat(F.lit("doc-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))).alias("selected_document_ids"),
+        F.array(F.concat(F.lit("doc-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.expr(corpus.PART_SUFFIX))).alias("selected_document_ids"),
     )
     return ask.scoped_totals(heads, docs).select(
         "query_id", "workspace_id", F.col("total").cast("double").alias("total"), "documents_with_total", "documents_selected"

@@ -2,10 +2,13 @@
 
 import struct
 
+import duckdb
 import pytest
 from helpers import GOLDEN, parsed
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from check import rows_of
 from ledgerleaf.operators import embed
 from ledgerleaf.plans import ingest
 from ledgerleaf.sources import admit, assemble, corpus, decode
@@ -68,30 +71,41 @@ def test_file_names(spark):
     ]
 
 
-def test_oversize_documents_are_rejected_not_dropped(spark, monkeypatch):
-    rows = [("big", 1, "S", i, 0, "x" * 50) for i in range(30)] + [("ok", 1, "S", 0, 0, "h"), ("ok", 2, "T", 0, 0, None)]
+def test_every_suffix_counts(spark):
+    df = spark.createDataFrame([("a" + ".x" * 1001 + ".exe.pdf",)], "n string")
+    reason = admit.reject_reason(F.lit(5), F.col("n"), F.lit("application/pdf"))
+    assert "'.exe'" in df.select(reason).first()[0]
+
+
+def test_sparse_cells_keep_their_columns(spark):
+    rows = [("d", 1, "S", 0, 0, "h1"), ("d", 1, "S", 0, 1, "h2"), ("d", 1, "S", 0, 2, "h3"), ("d", 1, "S", 1, 0, "a"), ("d", 1, "S", 1, 2, "c"), ("d", 2, "T", 0, 0, None)]
+    rows += [("big", 1, "S", i, 0, "x" * 5000) for i in range(3000)]
     cells = spark.createDataFrame(rows, "document_id string, sheet_no int, sheet_name string, row_no int, col_no int, value string")
-    monkeypatch.setattr(assemble.oversize_documents, "__kwdefaults__", {"limit": 1000})
     got = {r.document_id: r for r in assemble.worksheets(cells).collect()}
-    assert got["big"].parse_error == assemble.OVERSIZE and got["big"].pages == []
-    assert got["ok"].page_count == 1 and got["ok"].metadata["sheet_names"] == "S, T"
+    assert [list(x) for x in got["d"].tables[0].rows] == [["a", "", "c"]] and got["d"].metadata["sheet_names"] == "S, T"
+    assert got["big"].parse_error is None and len(got["big"].tables[0].rows) == 2999
 
 
-def test_hot_orders_become_several_documents(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(corpus, "MAX_LINES", 10)
+def test_orders_with_many_line_numbers_become_several_documents(spark, tmp_path):
     line = ", ".join(
         f"{v} AS {n}" for n, v in (
-            ("l_partkey", "7L"), ("l_suppkey", "1L"), ("l_linenumber", "1"), ("l_quantity", "2D"),
+            ("l_partkey", "7L"), ("l_suppkey", "1L"), ("l_linenumber", "cast(1 + id % 2500 as int)"), ("l_quantity", "2D"),
             ("l_extendedprice", "10.5D"), ("l_returnflag", "'A'"), ("l_linestatus", "'F'"),
         )
     )
-    # 95 exact copies in one order, 3 in another
-    spark.sql(f"SELECT IF(id < 95, 1L, 2L) AS l_orderkey, {line} FROM range(98)").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
-    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, timestamp_ntz'2020-01-02 00:00:00' AS o_orderdate FROM range(5)").write.parquet(str(tmp_path / "orders.parquet"))
-    docs = corpus.business_documents(spark, str(tmp_path)).collect()
-    parts = [d.n_lines for d in docs if d.key == 1]
-    assert len(parts) == 10 and max(parts) <= 10 and sum(parts) == 95
-    assert [d.n_lines for d in docs if d.key == 2] == [3] and len({d.document_id for d in docs}) == 11
+    path = str(tmp_path)
+    spark.sql(f"SELECT IF(id < 2500, 1L, 2L) AS l_orderkey, {line} FROM range(2503)").repartition(3).write.parquet(f"{path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, timestamp_ntz'2020-01-02 00:00:00' AS o_orderdate FROM range(5)").write.parquet(f"{path}/orders.parquet")
+    docs = corpus.business_documents(spark, path).collect()
+    assert sorted(d.n_lines for d in docs if d.key == 1) == [500, 1000, 1000]
+    assert [d.n_lines for d in docs if d.key == 2] == [3] and len({d.document_id for d in docs}) == 4
+    # The same table, checked against the SQL.
+    db = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    for name in ("a9_csv_documents", "a10_worksheets", "a15_corpus", "i9_scoped_totals"):
+        df, rel = entry.queries()[name](spark, path), db.sql(entry.oracle_sql()[name])
+        assert rows_of(df.columns, df.collect()) == rows_of(list(rel.columns), rel.fetchall()), name
 
 
 def run(spark, path, make=None, **columns):
@@ -142,4 +156,6 @@ def test_arrivals_are_taken_once(spark, folder, tmp_path_factory):
         ).awaitTermination()
         return spark.read.parquet(out).count()
 
-    assert go() == 7 == go()
+    # Refused files are rows with a reason.
+    assert go() == 8 == go()
+    assert spark.read.parquet(out).filter("reject_reason is not null").count() == 1

@@ -67,13 +67,40 @@ def test_auto_leaves_the_block_plan_when_requests_are_many(spark, vectors, monke
         retrieve.top_k(vectors, asked(spark, *REQUESTS), plan="block")
 
 
-def test_approximate_search_with_full_radius_is_exact(spark, vectors):
+def test_approximate_search_of_all_cells_is_exact(spark, vectors):
     requests = asked(spark, *REQUESTS)
-    found = approx.approx_top_k(approx.with_sketch(vectors, 4), requests, 4, radius=16)
+    centres = approx.fit_cells(vectors, 4, cells=5)
+    found = approx.approx_top_k(approx.with_cell(vectors, centres), requests, centres, probes=5)
     shares = approx.recall(found, retrieve.top_k(vectors, requests)).collect()
     assert {r.query_id: r.recall for r in shares} == {1: 1.0, 2: 1.0}
 
 
+def test_approximate_search_finds_most(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["h4_approximate_top_k"](spark, "/root/testdata/sf0.01").agg(F.sum("found") / F.sum("hits")).first()
+    assert rows[0] >= 0.9
+
+
+def test_same_record_id_in_two_workspaces_stays_apart(spark):
+    rows = [("a", "b:c", "d", "one"), ("a:b", "c", "d", "two")]
+    df = spark.createDataFrame([(w, d, c, 0, "t", [1.0, 2.0], t) for w, d, c, t in rows], "workspace_id string, document_id string, chunk_id string, chunk_index int, document_type string, vector array<float>, text_content string")
+    stored = store.records(df.withColumns({"dimensions": F.lit(2), "embedding_model": F.lit("m")}))
+    assert stored.select("record_id").distinct().count() == 1
+    requests = spark.createDataFrame([(1, "a", ["b:c"], [1.0, 2.0], 5), (2, "a:b", ["c"], [1.0, 2.0], 5), (3, "a", ["b:c"], [1.0], None)], "query_id int, workspace_id string, selected_document_ids array<string>, query_embedding array<float>, top_k int")
+    for plan in ("block", "join"):
+        got = {(r.query_id, r.text_content) for r in retrieve.top_k(stored, requests, plan=plan).collect()}
+        assert got == {(1, "one"), (2, "two")}
+
+
+def test_distances_that_are_no_number_come_last_in_both_plans(spark):
+    df = spark.createDataFrame([("w", "d", str(i), i, "t", v, "x") for i, v in enumerate(([1.0, 0.0], [0.0, 0.0], [0.0, 0.0], [0.5, 1.0]))], "workspace_id string, document_id string, chunk_id string, chunk_index int, document_type string, vector array<float>, text_content string")
+    stored = store.records(df.withColumns({"dimensions": F.lit(2), "embedding_model": F.lit("m")}))
+    requests = spark.createDataFrame([(1, "w", ["d"], [1.0, 0.0], 3)], "query_id int, workspace_id string, selected_document_ids array<string>, query_embedding array<float>, top_k int")
+    plans = [[(r["rank"], r.chunk_id) for r in retrieve.top_k(stored, requests, plan=p, metric="cosine").orderBy("rank").collect()] for p in ("block", "join")]
+    assert plans[0] == plans[1] == [(1, "0"), (2, "3"), (3, "1")]
+
+
 def test_embedding_batches_order_and_failures(spark):
     class Fake:
         def __call__(self, texts):
@@ -87,6 +114,8 @@ def test_embedding_batches_order_and_failures(spark):
     assert all(r.vector == [float(r.i), 1.0] and r.embed_error is None for r in got) and len(got) == 250
     bad = embed.embed(spark.createDataFrame([(1, "fail")], "i int, text_content string"), lambda: Fake(), dimensions=2)
     assert bad.first().embed_error == "provider_error: RuntimeError"
+    mixed = spark.createDataFrame([(i, "fail" if i == 7 else "ok") for i in range(30)], "i int, text_content string").coalesce(1)
+    assert [r.i for r in embed.embed(mixed, lambda: Fake(), dimensions=2).filter("embed_error is not null").collect()] == [7]
     wrong = embed.embed(df.limit(1), lambda: Fake(), dimensions=3).first()
     assert wrong.embed_error == "dimension_mismatch: expected 3, got 2"
 
