@@ -5,13 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.functions.session import saved
+from ledgerleaf.functions.session import saved, tune
 from ledgerleaf.llm import contentsort, harmonic, quality, secrets, setjoin
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.kept(docs, tune(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

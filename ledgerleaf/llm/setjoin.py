@@ -44,11 +44,11 @@ from ledgerleaf.llm.bpe import small_batches
 from ledgerleaf.llm.components import components
 
 #: Shingles that a task resolves together, words it remembers, bits of a set's parity map.
-TOKENS, WORDS, BITS = 700_000, 300_000, 512
+TOKENS, WORDS, BITS = 400_000, 150_000, 512
 #: Entries of a key that are compared together; a key with more is cut into blocks that meet pairwise.
 BLOCK = 1_000
 #: Bytes of text that are cut into words at once, and buckets of keys for each partition.
-TEXT, SPREAD = 4 << 20, 2
+TEXT, SPREAD = 2 << 20, 2
 #: A subset with one shingle less is taken to be shared by so many times more sets.
 RARER = 8.0
 #: Bits of the map of wanted rows that is sent to all tasks (1 MB, whatever the input).
@@ -243,11 +243,10 @@ class Resolver:
         """All sets that share a key with a probe and a resident among them; entries are sorted by key."""
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(begin, append=len(key))
-        runs = begin[(size > 1) & np.logical_or.reduceat(probe, begin) & np.logical_or.reduceat(resident, begin)] if len(key) else begin
-        ends = dict(zip(begin.tolist(), (begin + size).tolist()))
+        good = (size > 1) & np.logical_or.reduceat(probe, begin) & np.logical_or.reduceat(resident, begin)
         open_runs = []
-        for a in runs.tolist():
-            members = np.unique(who[a : ends[a]])
+        for a, n in zip(begin[good].tolist(), size[good].tolist()):
+            members = np.unique(who[a : a + n])
             if len(members) < 2:
                 continue
             head = int(members[0])
