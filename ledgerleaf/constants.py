@@ -106,7 +106,6 @@ EMBED_BATCH = 100
 DEFAULT_DIMENSIONS = 768
 DEFAULT_TOP_K = 5
 MAX_TOP_K = 50
-MAX_REQUEST_TOP_K = 20
 MAX_QUESTION_CHARS = 1000
 NO_HIT_ANSWER = (
     "The available selected documents do not provide enough information to answer this question."
@@ -127,5 +126,4 @@ QUERY_STAGE = "query_documents"
 INGESTION_MODE = "DOCUMENT_INGESTION"
 QUERY_MODE = "QUERY"
 VALIDATION_HALT_MESSAGE = "Document validation failed due to business constraint violations."
-INTERNAL_INGEST_MESSAGE = "An internal error occurred while executing the document ingestion pipeline."
 BLANK_WORKSPACE_MESSAGE = "Mandatory field 'workspace_id' cannot be empty."

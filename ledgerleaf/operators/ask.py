@@ -43,6 +43,7 @@ def question_error() -> Column:
     )
 
 
+# The frame of an excerpt and of a prompt.
 def _block(source: Column) -> Column:
     n = source["rank"].cast("string")
     return F.concat(
@@ -154,16 +155,21 @@ def answer(
     Runs at once. Question vectors and answers are written once to the shared folder,
     so that no model call is repeated by a later action or a lost executor.
 
-    ``questions``: query_id, workspace_id, selected_document_ids, query, top_k.
+    ``questions``: query_id, workspace_id, selected_document_ids, query, top_k. Blank
+    document ids are dropped first, and a null ``top_k`` takes the default. A question
+    with an unsafe hit fails before its prompt is made.
     """
-    checked = questions.withColumn("error", F.coalesce(question_error(), retrieve.request_error(check_vector=False)))
+    usable = questions.withColumn("selected_document_ids", drop_blank_ids(F.col("selected_document_ids")))
+    checked = usable.withColumn("error", F.coalesce(question_error(), retrieve.request_error(check_vector=False)))
     good = saved(
         embed_questions(checked.filter("error is null").drop("error"), make_embedder, dimensions), "questions"
     )
-    hits = retrieve.top_k(vectors, good.filter("embed_error is null"), **search)
-    asked = good.select("query_id", "workspace_id", "selected_document_ids", "query", "embed_error")
-    replied = saved(generate(with_context(asked, hits), make_generator), "answers")
-    ok = F.coalesce("embed_error", "answer_error")
+    hits = saved(retrieve.top_k(vectors, good.filter("embed_error is null"), **search), "hits")
+    unsafe = retrieve.check_hits(hits, good).filter("unsafe_hits > 0").select("query_id", F.col("error").alias("hit_error"))
+    asked = good.select("query_id", "workspace_id", "selected_document_ids", "query", "embed_error").join(unsafe, "query_id", "left")
+    safe = hits.join(unsafe, "query_id", "left_anti")
+    replied = saved(generate(with_context(asked, safe), make_generator), "answers")
+    ok = F.coalesce("embed_error", "hit_error", "answer_error")
     results = replied.select(
         "query_id", "workspace_id", "selected_document_ids", "query",
         F.when(ok.isNull(), F.col("answer")).alias("answer"),

@@ -57,6 +57,7 @@ for _way, _whole in (("w", True), ("s", False)):
 for _t in ("CGST", "SGST", "IGST"):
     keyword(f"w_{_t.lower()}", (_t,), True)
 
+# Entity patterns of the checking side.
 _GSTIN = r"(?i)\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b"
 _PAN = r"(?i)\b[A-Z]{5}[0-9]{4}[A-Z]\b"
 _DATE = (
@@ -255,6 +256,7 @@ def judged(name: str, source: str) -> None:
     head = "document_type IN ('Sales Invoice', 'Purchase Invoice', 'GST Invoice', 'Purchase Order', 'Quotation', 'Sales Order', 'Delivery Challan')"
     tax = "document_type IN ('GST Invoice', 'Sales Invoice', 'Purchase Invoice')"
     two = lambda x: f"printf('%.2f', {x})"
+    # Rule ids, severities, fields and messages.
     rules = [
         ("VAL_HDR_001", "ERROR", "header.document_number", f"{head} AND no_ IS NULL", "'Document number is missing or blank.'"),
         ("VAL_HDR_002", "ERROR", "header.document_date", f"{head} AND date_ IS NULL", "'Document issuance date is missing or invalid.'"),

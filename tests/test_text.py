@@ -11,6 +11,7 @@ SAMPLES = [
     "12/08/2026 é13/08/2026 3 August 26 5 may 2026x 2026-1-2", "27ABCDE1234F1Z5 x27ABCDE1234F1Z5 abcde1234f éABCDE1234F",
     "\x1d\x1e tail \x1f", "١٢/٠٨/٢٠٢٦",
 ]
+# The entity patterns that the engine's own forms must equal.
 PATTERNS = {
     text.GSTIN: r"(?i)\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b",
     text.PAN: r"(?i)\b[A-Z]{5}[0-9]{4}[A-Z]\b",
