@@ -49,7 +49,8 @@ REPORTS = set(
 ADDRESSES = set("you your youre yourself u ur du dich dein deine ihr euch tu te tú usted vous toi ton ta are such".split())
 QUOTES = "\"“”„«»‘’'`"
 
-FEATURES = "exact, exact_quoted, near, near_quoted, any_exact, any_near".split(", ")
+#: Sums of the weights of hits, by exactness and context, and whether there is one at all.
+FEATURES = ["exact", "exact_quoted", "near", "near_quoted", "any_exact", "any_near"]
 
 
 def _quoted(text: str, start: int, end: int) -> bool:
@@ -76,7 +77,7 @@ class Reader:
 
     def __init__(self, weights: dict[str, float]):
         self.automaton = Automaton(list(weights))
-        self.weight = [weights[t] for t in self.automaton.terms]
+        self.weights = weights
         self.known: dict[str, tuple[int, int] | None] = {}
 
     def hits(self, text: str) -> list[tuple[int, int, str, int, float]]:
@@ -94,11 +95,9 @@ class Reader:
         return [(*spans[k], self.automaton.terms[t], e, context(text, spans, k)) for k, (t, e) in found]
 
     def features(self, text: str) -> list[float]:
-        sums = [0.0] * 6
-        index = {t: i for i, t in enumerate(self.automaton.terms)} if not hasattr(self, "_index") else self._index
-        self._index = index
+        sums = [0.0] * len(FEATURES)
         for *_, term, e, share in self.hits(text):
-            w = self.weight[index[term]]
+            w = self.weights[term]
             at = 0 if e == 0 else 2
             sums[at] += w * share
             sums[at + 1] += w * (1 - share)
