@@ -184,6 +184,11 @@ def issue_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def sink() -> Column:
+    """Where a validated document goes: ``chunking`` or ``stopped``."""
+    return F.when(F.col("is_valid"), "chunking").otherwise("stopped")
+
+
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that may go on to chunking, and those that stop here."""
     return df.filter("is_valid"), df.filter(~F.col("is_valid"))

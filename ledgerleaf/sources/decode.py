@@ -176,7 +176,9 @@ def parse_files(catalog: DataFrame, assembled: DataFrame | None = None) -> DataF
     from them (see :mod:`ledgerleaf.sources.assemble`). Every catalog row gives one row.
     """
     kind = admit.parser_kind(F.col("file_extension"))
-    error = admit.routing_error(F.col("file_extension"), F.length("content"))
+    # Routing by the size that the listing gives: branches without content don't read any.
+    size = F.col("file_size") if "file_size" in catalog.columns else F.length("content")
+    error = admit.routing_error(F.col("file_extension"), size)
     if "storage_path" not in catalog.columns:
         catalog = catalog.withColumnRenamed("path", "storage_path")
     files = catalog.withColumns({"_kind": kind, "_error": error})
