@@ -47,6 +47,8 @@ from ledgerleaf.llm.components import components
 TOKENS, WORDS, BITS = 400_000, 150_000, 512
 #: Entries of a key that are compared together; a key with more is cut into blocks that meet pairwise.
 BLOCK = 1_000
+#: Bits of the wider maps that are compared before whole sets are sent.
+WIDE = 4_096
 #: Bytes of text that are cut into words at once, and buckets of keys for each partition.
 TEXT, SPREAD = 2 << 20, 2
 #: A subset with one shingle less is taken to be shared by so many times more sets.
@@ -105,9 +107,9 @@ class Shingler:
         return out
 
 
-def parity(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of BITS cells: maps of two sets differ in no more places than the sets."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def parity(s: np.ndarray, bits: int = BITS) -> bytes:
+    """Parity of the shingles in each of the cells: maps of two sets differ in no more places than the sets."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 @cache
@@ -422,26 +424,32 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         shingler = Shingler(words)
         for b in small_batches(batches, TEXT):
             sets = shingler(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+            wide = [parity(s, WIDE) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(wide, pa.binary())], names=["id", "shingles", "wide"])
 
-    return docs.mapInArrow(run, "id bigint, shingles binary")
+    return docs.mapInArrow(run, "id bigint, shingles binary, wide binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of vertices that are linked."""
-    d = sizes.select(F.col("id").alias("k"), "n", "map")
-    with_a = pairs.join(d, F.col("a") == F.col("k")).select("a", "b", F.col("n").alias("na"), F.col("map").alias("ma"))
-    both = with_a.join(d, F.col("b") == F.col("k")).select("a", "b", "na", F.col("n").alias("nb"), "ma", F.col("map").alias("mb"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            maps = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5)]
+            maps = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5)]
             apart = np.bitwise_count(maps[0] ^ maps[1]).sum(axis=1)
             keep = apart * (100 + percent) <= (100 - percent) * (na + nb)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    close = saved(both.mapInArrow(near, "a bigint, b bigint"), "near")
+    def nearer(found: DataFrame, maps: DataFrame) -> DataFrame:
+        """Pairs that sizes and maps (``k, n, map``) let be linked."""
+        with_a = found.join(maps, F.col("a") == F.col("k")).select("a", "b", F.col("n").alias("na"), F.col("map").alias("ma"))
+        both = with_a.join(maps, F.col("b") == F.col("k")).select("a", "b", "na", F.col("n").alias("nb"), "ma", F.col("map").alias("mb"))
+        return both.mapInArrow(near, "a bigint, b bigint")
+
+    close = saved(nearer(pairs, sizes.select(F.col("id").alias("k"), "n", "map")), "near")
     ends = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
     sets = saved(_sets(_likely(texts, ends).join(ends, "id", "left_semi"), words), "sets").dropDuplicates(["id"])
 
@@ -454,6 +462,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int,
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # Whole sets are sent for few pairs only: wider maps tell long texts apart as well.
+    wide = sets.select(F.col("id").alias("k"), (F.octet_length("shingles") / 8).cast("bigint").alias("n"), F.col("wide").alias("map"))
+    close = saved(nearer(close, wide), "nearer")
     one = close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return two.mapInArrow(equal, "a bigint, b bigint")
