@@ -25,3 +25,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, out, most: int, id_co
     few = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select(F.col(id_column).alias("known_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     return texts.join(few, "known_id").select("text", "label")
+
+
+def weights(labels: DataFrame, label: str, out, most: int, id_column: str = "doc_id") -> dict[int, float]:
+    """How many labelled identifiers a row of :func:`sample` stands for, by class; 1 for a class that is taken whole."""
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~out)
+    one = known.groupBy(id_column).agg(F.max(label).cast("int").alias("label"))
+    counts = {r.label: r["count"] for r in one.filter("label IN (0, 1)").groupBy("label").count().collect()}
+    return {y: n / min(n, most) for y, n in counts.items()}

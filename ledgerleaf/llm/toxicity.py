@@ -5,7 +5,8 @@ Every distinct word of a batch runs through the Levenshtein automaton of the lex
 hit gets a context score from the words and quotation marks around it: a term that is
 quoted, named or reported counts as quotation, one next to an address of a person as
 abuse. A document's score is a logistic function of its summed hits, fitted to labelled
-rows.
+rows. The sample of these is bounded by class, so its rows are weighted back to the true
+shares of the classes: lexicon and scores mean the same at every size.
 
 Null and empty texts have no hits and get the score of the intercept. Scoring is narrow:
 no shuffle; the lexicon is bounded by ``TERMS``.
@@ -29,7 +30,7 @@ from ledgerleaf.llm.bpe import small_batches
 
 #: Labelled rows of each class that lexicon and weights may be learned from.
 TRAIN_ROWS = 8_000
-#: Terms at most, unrelated toxic texts that a learned term needs, and the share of them among its texts.
+#: Terms at most, unrelated toxic texts that a learned term needs in a sample of the true mix, and the share of them among its texts at true rates.
 TERMS, SUPPORT, SHARE = 2_000, 4, 0.9
 TOXIC = 0.7
 #: Words on either side that a context score looks at.
@@ -119,14 +120,21 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(label, pa.int32()), pa.array(mark, pa.int64())], names=["term", "label", "mark"])
 
 
-def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms and weights: the built-in ones, and words found in toxic rows almost only."""
+def needed(toxic: float, clean: float, weights: dict[int, float]) -> int:
+    """Toxic texts that are as unlikely by chance in a sample of so many rows as SUPPORT ones in the true mix."""
+    true = toxic * weights[1] / (toxic * weights[1] + clean * weights[0])
+    return max(SUPPORT, math.ceil(SUPPORT * math.log(true) / math.log(toxic / (toxic + clean)) - 1e-9))
+
+
+def lexicon(rows: DataFrame, support: int = SUPPORT, weights: dict[int, float] | None = None) -> dict[str, float]:
+    """Terms and weights: the built-in ones, and words found in toxic rows almost only, each row counted by the weight of its class."""
+    by = weights or {0: 1.0, 1: 1.0}
     seen = rows.mapInArrow(_terms_of, "term string, label int, mark bigint").distinct()
     counts = seen.groupBy("term").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("all"))
-    good = counts.filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= SHARE * F.col("all")))
+    toxic, clean = F.col("toxic") * by[1], (F.col("all") - F.col("toxic")) * by[0]
+    good = counts.filter((F.col("toxic") >= support) & (toxic >= SHARE * (toxic + clean)))
     best = good.orderBy(F.col("toxic").desc(), "term").limit(TERMS).collect()
-    weights = dict.fromkeys(INSULTS, 2.0)
-    return weights | {r.term: min(4.0, 1.0 + math.log(r.toxic)) for r in best}
+    return dict.fromkeys(INSULTS, 2.0) | {r.term: min(4.0, 1.0 + math.log(r.toxic)) for r in best}
 
 
 #: Weights before any label, towards which the fit is drawn: features, then intercept.
@@ -137,7 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     """Lexicon and weights; without labels of both classes the built-in ones."""
     out = labelled.held_out(id_column, parts, part)
     rows = labelled.sample(docs, labels, label, out, TRAIN_ROWS, id_column).persist()
-    weights = lexicon(rows)
+    held = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(held) < 2:
+        rows.unpersist()
+        return dict.fromkeys(INSULTS, 2.0), PRIOR
+    stands = labelled.weights(labels, label, out, TRAIN_ROWS, id_column)
+    weights = lexicon(rows, needed(held[1], held[0], stands), stands)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(weights)
@@ -150,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     table = np.array([list(r) for r in found.groupBy(*FEATURES, "label").count().collect()], float).reshape(-1, len(FEATURES) + 2)
     rows.unpersist()
     y, times = table[:, -2], table[:, -1]
-    if not len(table) or y.min() == y.max():
-        return weights, PRIOR
+    # True shares, as many rows as the sample has.
+    times = times * np.where(y == 1, stands[1], stands[0])
+    times *= table[:, -1].sum() / times.sum()
     x = np.column_stack([table[:, :-2], np.ones(len(table))])
     w = PRIOR.copy()
     for _ in range(40):  # Newton steps of the drawn-back logistic fit

@@ -65,6 +65,18 @@ def test_held_out_accuracy(spark, run, label, parts, part, least):
     assert sum(r.predicted == y for r, y in known) / len(known) >= least
 
 
+def test_bounded_toxicity_sample_keeps_the_true_mix(spark, monkeypatch):
+    """As many toxic as clean rows are learned from, where about one in nine is toxic."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 300)
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r.predicted for r in toxicity.scored(docs, labels).collect()}
+    known = [(rows[r.doc_id], r.toxic) for r in labels.collect() if crc32(str(r.doc_id).encode()) % 3 == 1]
+    clean, toxic = ([p for p, y in known if y == k] for k in (0, 1))
+    assert sum(clean) / len(clean) <= 0.01
+    assert sum(toxic) / len(toxic) >= 0.5
+    assert toxicity.needed(8000, 8000, {0: 8.0, 1: 1.0}) > toxicity.needed(1000, 8000, {0: 1.0, 1: 1.0}) == toxicity.SUPPORT
+
+
 ODD = [(1, None, "a"), (2, "", "b"), (None, "some plain words of text", "c"), (3, "word " * 60_000, "d"), (3, "word", "e")]
 
 
