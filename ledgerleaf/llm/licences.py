@@ -111,11 +111,17 @@ RULES = [
 #: Other licence sentences that may stand between two of a rule.
 BETWEEN = 3
 
-#: Every known sentence has one of these parts, so a text without any has no licence.
-CUES = ("licen", "permission", "redistribut", "warrant", "rights reserved", "copyright", "spdx", "in no event", "free software", "free and unencumbered", "this program is")
+#: Verbs of notices, before "under" and a name.
+VERBS = ("licensed", "released", "distributed", "available", "published", "provided")
+#: Every known sentence and notice has one of these parts, so a text without any has no licence.
+CUES = ("licen", "permission", "redistribut", "warrant", "copyright", "spdx")
+PHRASES = ("rights reserved", "in no event", "free software", "free and unencumbered", "this program is", *(f"{v} under" for v in VERBS))
+#: Phrases with anything between their words that a normal form drops, and a word of each, which is quick to look for.
+_PHRASE = re.compile("|".join(p.replace(" ", r"[\W_]+") for p in PHRASES))
+_WORDS = ("reserved", "event", "free", "program", "under")
 #: Ends of sentences: a single mark before white space.
 END = re.compile(r"(?<![.!?;])[.!?;](?=\s)")
-VERB = r"(?:this (?:work|file|program|project|software|document|code|text|library) is |it is |are |is )?(?:licensed|released|distributed|available|published|provided|made available) under (?:the terms of )?(?:the |an |a )?"
+VERB = rf"(?:this (?:work|file|program|project|software|document|code|text|library) is |it is |are |is )?(?:{'|'.join(VERBS)}|made available) under (?:the terms of )?(?:the |an |a )?"
 
 
 def normal(sentence: str) -> str:
@@ -124,6 +130,11 @@ def normal(sentence: str) -> str:
     return " ".join("license" if w == "licence" else "licenses" if w == "licences" else w for w in words)
 
 
+def cued(text: str) -> bool:
+    low = text.lower()
+    return any(c in low for c in CUES) or any(w in low for w in _WORDS) and bool(_PHRASE.search(low))
+
+
 @cache
 def _known() -> tuple[dict[str, str], list[tuple[re.Pattern, str]], re.Pattern]:
     exact = {s: i for i, s in SENTENCES.items() if "<x>" not in s}
@@ -173,8 +184,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     for breaks in (LINES, PARAGRAPHS):
         for a, b in _pieces(text, breaks):
             part = text[a:b]
-            low = part.lower()
-            if any(c in low for c in CUES) or breaks is PARAGRAPHS and "\n" in part and any(c in " ".join(low.split()) for c in CUES):
+            if cued(part):
                 for i in identifiers(normal(part)):
                     if not any(i == k and x < b and a < y for x, y, k in found):
                         found.append((a, b, i))
@@ -183,8 +193,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 def licences(text: str | None) -> list[tuple[str, int, int]]:
     """``licence, start, end`` of every rule that applies."""
-    low = (text or "").lower()
-    if not any(c in low for c in CUES):
+    if not text or not cued(text):
         return []
     found = sentences(text)
     used, out = [False] * len(found), []

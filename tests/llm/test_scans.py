@@ -37,6 +37,18 @@ def test_licences(text, want):
     assert all(0 <= a < b <= len(text) for _, a, b in found)
 
 
+def test_no_known_sentence_is_skipped():
+    for sentence in licences.SENTENCES.values():
+        assert licences.cued(sentence.replace("<x>", "some one").replace(" ", "\n"))
+    for verb in (*licences.VERBS, "made available"):
+        for licence, names in licences.NAMES.items():
+            for name in names:
+                for text in (f"{verb} under {name}", f"Some words.\nThis code is {verb.upper()}!! under the\n{name}. More"):
+                    assert {x for x, *_ in licences.licences(text)} == {licence}, text
+    for text, want in (("The data are available under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This code is released under GPL v3.", "GPL-3.0"), ("Copyright 2020 Foo.\nAll rights\nreserved.", "All rights reserved")):
+        assert {x for x, *_ in licences.licences(text)} == {want}
+
+
 def test_licence_lines_of_the_documents():
     """Brute force: the normal form of the whole text holds the notice."""
     table = ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table().to_pydict()
