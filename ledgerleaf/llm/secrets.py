@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest.
 
-A candidate is an assigned value, a token of a known issuer or a long run of token
-characters. The forest judges it by length, character transitions, share covered by
+A candidate is a value assigned to a name that holds a key word (``DB_PASSWORD``,
+``clientSecret``), a password in a URL, a private key or a run of token characters. The forest judges it by length, character transitions, share covered by
 dictionary words, character classes, the path of its document and the words around it. It
 learns from labelled findings: a given table, or the built-in ones, which are drawn from
 the shapes below by a fixed seed. Each tree is learned in a task of its own.
@@ -35,12 +35,20 @@ SECRET = 0.5
 #: Characters of context on either side.
 NEAR = 48
 
-CANDIDATE = re.compile(
+#: Names that hold a key word, whole, with the mark of an assignment. Possessive, so a name is read once.
+NAME = r"(?=[A-Za-z0-9_.-]++[\"']?\s*+[:=])(?=[A-Za-z0-9_.-]*?(?i:pass(?:word|wd|phrase)|pwd|secret|token|key|auth|credential|bearer|private|access|client|signing))[A-Za-z0-9_.-]++[\"']?\s*+(?:=>|:=|=|:)"
+#: Values after such names, but not further names or URLs, which are read by themselves; passwords in URLs; private keys.
+ASSIGNED = re.compile(
     r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----.*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
-    r"|(?i:(?<![A-Za-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth|credential)s?)[\"']?\s*(?:=>|:=|=|:)\s*(?:\"(?P<double>[^\"\s]{6,})\"|'(?P<single>[^'\s]{6,})'|(?P<bare>[A-Za-z0-9+/=_.~-]{8,}))"
-    r"|(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}(?![A-Za-z0-9+/_-])",
+    rf"|(?<![A-Za-z0-9_.-]){NAME}\s*+(?![A-Za-z][A-Za-z0-9+.-]*+://|{NAME}\s*[^\s=])"
+    r"(?:\"(?P<double>[^\"\s]{6,})\"|'(?P<single>[^'\s]{6,})'|(?P<bare>[^\s\"'`<>,;)\]}]{8,}))"
+    r"|://[^\s/:@\"'<>]*+:(?P<login>[^\s/\"'<>]+)@",
     re.S,
 )
+#: Runs of token characters anywhere else.
+RUN = re.compile(r"(?<![A-Za-z0-9!#$%&*+/_.-])[A-Za-z0-9!#$%&*+/_.-]{10,}(?:={1,2}[!#$%&*]*+)?(?![A-Za-z0-9!#$%&*+/_-])")
+#: Repeated marks that decorate words; a value is judged by its longest part between them, and masked whole.
+MARKS = re.compile(r"([!#$%&*])\1{2,}|([!#$%&*])\2\Z")
 ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|xox[abprs]-[A-Za-z0-9-]{10,}$|sk_(?:live|test)_[A-Za-z0-9]{16,}$|AIza[A-Za-z0-9_-]{30,}$|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+$|-----BEGIN")
 #: Neighbouring words for and against a secret, and parts of paths with made-up values.
 FOR = "token secret key apikey password passwd pwd passphrase auth authorization bearer credential credentials private access client signing".split()
@@ -83,7 +91,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
     pairs = [table[a, b] for a, b in zip(code, code[1:]) if a < 26 or b < 26]
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in value]
     counts, letters = Counter(kind), Counter(value)
-    near = set(re.findall(r"[a-z]+[0-9]*", before.lower())[-4:])
+    near = set(re.findall(r"[a-z]+[0-9]*", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", before).lower())[-4:])
     for_key = any(w in FOR for x in near for w in (x, x.rstrip("s")))
     return [
         n,
@@ -151,6 +159,10 @@ def labelled_findings(rows: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[st
         value, start = rng.choice(false)()
         quote = start[-1:] if start[-1:] == "\"" else ""
         out.append((case(value), f"{prose()} {start}" + ("" if start.endswith(("\"", "/", "=")) else " "), quote + " " + prose(), rng.choice(("", "docs/example", "tests/fixtures", "src7")), 0))
+    for _ in range(rows // 20):  # passwords in URLs
+        start, host = f"{prose()} {rng.choice(('https', 'postgres', 'redis', 'ftp'))}://{words(1, '')}:", f"@{words(1, '')}.{rng.choice(('com', 'net'))}/{words(1, '')}"
+        out.append((pick(alnum + "!#%&*+-_", rng.randint(8, 20)), start, host, rng.choice(("", "src/app/config")), 1))
+        out.append((rng.choice(("password", "pass", "changeme", "your_password", words(1, ""))), start, host, rng.choice(("", "docs/example")), 0))
     return out
 
 
@@ -228,14 +240,38 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None) -> Forest:
     return Forest([np.frombuffer(r.nodes).reshape(-1, 5) for r in sorted(rows)])
 
 
+def _spans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """``start, end, assigned`` of every candidate, in text order; runs are looked for between the assigned values."""
+    at = 0
+    for m in ASSIGNED.finditer(text):
+        yield from ((*r.span(), False) for r in RUN.finditer(text, at, m.start()))
+        start, at = next((m.span(g) for g in ("double", "single", "bare", "login") if m[g]), m.span())
+        end = at
+        if m["bare"] and text[m.start() - 1 : m.start()] in ("?", "&"):  # parameters of a query
+            end = at = start + len(m["bare"].split("&")[0])
+        yield start, end, True
+    yield from ((*r.span(), False) for r in RUN.finditer(text, at))
+
+
+def _core(text: str, start: int, end: int) -> tuple[int, int]:
+    """The longest part between repeated marks, without a final stop; the whole value if there is no part of 6 characters."""
+    best, a = (start, start), start
+    for m in MARKS.finditer(text, start, end):
+        best, a = max(best, (a, m.start()), key=lambda s: s[1] - s[0]), m.end()
+    a, b = max(best, (a, end), key=lambda s: s[1] - s[0])
+    while b > a and text[b - 1] == ".":
+        b -= 1
+    return (a, b) if b - a >= 6 else (start, end)
+
+
 def candidates(text: str, path: str) -> list[tuple[int, int, list[float]]]:
     """``start, end, features`` of every candidate; overlapping ones don't occur."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        start, end = next((m.span(g) for g in ("double", "single", "bare") if m[g]), m.span())
-        value = text[start:end]
-        if not (value.isalpha() and value.islower() and m.span() == (start, end)):
-            out.append((start, end, features(value, text[max(0, start - NEAR) : start], text[end : end + NEAR], path)))
+    for start, end, assigned in _spans(text):
+        a, b = _core(text, start, end)
+        core = text[a:b]
+        if assigned or not (core.isalpha() and (core.islower() or len(core) < 10 or len(core) < 16 and core.istitle()) or len(core) < 8):
+            out.append((start, end, features(core, text[max(0, a - NEAR) : a], text[b : b + NEAR], path)))
     return out
 
 

@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import numpy as np
 import pyarrow.dataset as ds
 import pytest
 
@@ -100,6 +102,34 @@ def test_forest_on_fresh_findings(spark):
     assert ((score >= secrets.SECRET) == [r[4] == 1 for r in table]).mean() > 0.97
 
 
+def test_every_form_of_secret_is_masked_whole(spark):
+    forest = secrets.fit(spark)
+    forms = {
+        "secret_key = 'aB3#kf9!x2Qw'": "aB3#kf9!x2Qw", "clientSecret: 'k9Xq2#Lm7w'": "k9Xq2#Lm7w", "accessToken=k9Xq2Lm7wZ": "k9Xq2Lm7wZ", "password = aB3#kf9!x2Qw": "aB3#kf9!x2Qw",
+        "https://bob:s3cr3tPw9@host/db": "s3cr3tPw9", "DB_PASSWORD=Tr0ub4dor&3xyzQ": "Tr0ub4dor&3xyzQ", "https://h.example/x?user=bob&token=k9Xq2Lm7wZ4r&page=2": "k9Xq2Lm7wZ4r",
+    }
+    texts = [(i, f"some words {t} and more", "src", v) for i, (t, v) in enumerate(forms.items())]
+    df = spark.createDataFrame([(*r[:3], len(r[1])) for r in texts], "doc_id int, text string, source string, n_chars int")
+    out = {r.doc_id: r.text for r in secrets.redacted(df, forest).collect()}
+    for i, t, _, v in texts:
+        assert out[i] == t.replace(v, "[SECRET]")
+    found = whole = real = 0
+    for value, before, after, path, label in secrets.labelled_findings(400, 31):
+        if label:
+            a, b = len(before), len(before) + len(value)
+            hit = [f for x, y, f in secrets.candidates(before + value + after, path) if x <= a and b <= y]
+            real, found = real + 1, found + bool(hit)
+            whole += bool(hit) and bool(forest.score(np.array(hit))[0] >= secrets.SECRET)
+    assert found == real and whole >= 0.9 * real
+
+
+@pytest.mark.parametrize("text", ["token" * 40_000, "token=" * 30_000, "key: " * 30_000, "://a:" * 30_000, "a" * 200_000 + "token", "-" * 200_000, "A!" * 100_000])
+def test_secret_patterns_are_linear(text):
+    start = time.process_time()
+    secrets.candidates(text, "")
+    assert time.process_time() - start < 5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Site name</a></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies, as everyone does. Accept them, please.</div><div id=main-content>
