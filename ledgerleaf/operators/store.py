@@ -173,11 +173,10 @@ def upsert(
 
 
 def upsert_summary(rows: DataFrame) -> DataFrame:
-    """Stored record count per document, with the ids as rows of their own.
+    """Stored record count per document, counted before the shuffle."""
+    return rows.groupBy("workspace_id", "document_id").agg(F.count("*").alias("stored_count"))
 
-    The ids of a document are bounded by its size limit, so they fit one array.
-    """
-    return rows.groupBy("workspace_id", "document_id").agg(
-        F.count("*").alias("stored_count"),
-        F.sort_array(F.collect_list("record_id")).alias("record_ids"),
-    )
+
+def upserted_ids(rows: DataFrame) -> DataFrame:
+    """The record ids of every document as rows of their own, so a document of any size fits."""
+    return rows.select("workspace_id", "document_id", "record_id")

@@ -148,6 +148,8 @@ SQL["g4_stored_rows"] = query(
     text_content, len(embedding) AS size, round(list_sum(embedding::double[]), 6) AS vector_sum FROM stored""",
     "stored",
 )
+SQL["g5_document_counts"] = query("SELECT workspace_id, document_id, count(*) AS stored_count FROM stored GROUP BY ALL", "stored")
+SQL["g5_document_records"] = query("SELECT workspace_id, document_id, record_id FROM stored", "stored")
 SQL["g5_upsert_summary"] = query(
     """SELECT workspace_id, d AS document_id, count(*) AS stored_count, string_agg(r, ',' ORDER BY r) AS record_ids FROM (
     SELECT workspace_id, d, concat(workspace_id, ':', d, ':', chunk_id) AS r FROM (SELECT *, concat(document_id, '-', vec_id // 200) AS d FROM vecs)) GROUP BY ALL""",

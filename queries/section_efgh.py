@@ -169,14 +169,22 @@ def g4_stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def g5_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.upsert_summary(store.records(X.vectors(spark, sf_dir)))
+
+
+def g5_document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.upserted_ids(store.records(X.vectors(spark, sf_dir)))
+
+
 def g5_upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Blocks of 200 chunks per document: a real document is bounded by its file size.
+    # The checking SQL states blocks of 200 chunks, with their ids as one text; whole documents are in the two queries above.
     rows = X.vectors(spark, sf_dir).withColumn(
         "document_id", F.concat("document_id", F.lit("-"), F.floor(F.col("vec_id") / 200).cast("string"))
     )
-    return store.upsert_summary(store.records(rows)).select(
-        "workspace_id", "document_id", "stored_count", F.array_join("record_ids", ",").alias("record_ids")
-    )
+    stored, key = store.records(rows), ["workspace_id", "document_id"]
+    ids = store.upserted_ids(stored).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("record_id")), ",").alias("record_ids"))
+    return store.upsert_summary(stored).join(ids, key)
 
 
 # --- H: retrieval --------------------------------------------------------------------------

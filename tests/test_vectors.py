@@ -188,3 +188,12 @@ def test_answers_cover_every_question(spark, vectors):
         3: "missing_workspace_id", 4: "missing_scope", 5: "query_too_long", 6: "top_k_too_small",
     }
     assert calls.value == 2  # each good question is embedded once
+
+
+def test_summary_of_a_hot_document_is_counted_without_an_array(spark):
+    rows = spark.range(5_000).selectExpr("'w' AS workspace_id", "'hot' AS document_id", "concat('w:hot:', id) AS record_id")
+    counts = store.upsert_summary(rows)
+    assert [tuple(r) for r in counts.collect()] == [("w", "hot", 5_000)]
+    assert "collect_list" not in counts._jdf.queryExecution().toString()
+    ids = store.upserted_ids(rows)
+    assert ids.columns == ["workspace_id", "document_id", "record_id"] and ids.count() == 5_000
