@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import balltree, bpe, contentsort, harmonic, licences, pagetext, quality, secrets, setjoin, toxicity
+from ledgerleaf.llm import balltree, bpe, collocations, contentsort, decontaminate, harmonic, licences, pagetext, quality, secrets, setjoin, spelling, toxicity
 
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -59,6 +59,19 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One letter is left out of every 31st word first, as the result's contract says."""
+    return spelling.grouped(table(spark, sf_dir, "documents"), every=31)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,5 +85,8 @@ QUERIES = {
         op8_harmonic_packing,
         op9_content_sort,
         op10_page_text,
+        op11_phrases,
+        op12_decontamination,
+        op13_spelling_variants,
     )
 }
