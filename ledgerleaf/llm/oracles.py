@@ -60,11 +60,13 @@ SQL = {
             UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) AS f FROM t WHERE z IS NOT NULL GROUP BY ALL HAVING f >= 10
         ), c AS (
             SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1
+        ), v AS MATERIALIZED (
+            SELECT c.*, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest FROM c, (VALUES (1), (2)) AS v(cut) WHERE cut < k
+        ), l AS MATERIALIZED (
+            SELECT v.*, g.f AS l FROM v JOIN g ON g.lang = v.lang AND g.phrase = v.head
         ), s AS (
-            SELECT c.*, cut, x.f AS l, y.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-            FROM c JOIN (VALUES (1), (2)) AS v(cut) ON cut < k
-            JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
-            JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+            SELECT l.*, g.f AS r, CAST(1000000 * CAST(l.a AS HUGEINT) * l.a // (CAST(l.l AS HUGEINT) * g.f) AS BIGINT) AS score
+            FROM l JOIN g ON g.lang = l.lang AND g.phrase = l.rest
         ), b AS (
             SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
         ), inside AS (

@@ -247,7 +247,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     64 bits) and free of circles; the steps to the root are doubled in each round.
     """
     near = near_words(words)
-    is_form = F.col("best_n") >= ratio * F.col("n")
+    is_form = F.expr(f"best_n div {ratio}") >= F.col("n")  # a product may pass 64 bits
     rows = words.join(near, "word", "left").select(
         "word",
         F.when(is_form, F.col("best")).alias("form"),

@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, name):
 def test_all_are_registered():
     names = set(entry.queries())
     assert {*queries.QUERIES, "pipeline"} <= names
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_stages_follow_a_brute_force(spark):
