@@ -200,14 +200,13 @@ def automata(items: DataFrame, window: int, id_column: str, text_column: str) ->
     parts = saved(texts.mapInArrow(_parts(window), "item string, words string, start bigint"), "items")
     size = parts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(i, w.encode().split(b" ")) for b in batches for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        if rows:
-            rows.sort(key=lambda r: (r[0] or "", r[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([automaton(rows, window).packed()], pa.binary())], names=["automaton"])
-
-    dealt = parts.repartition(1 + size // SHARD, F.xxhash64("item", "start"))
-    return (bytes(r.automaton) for r in dealt.select("item", "words").mapInArrow(build, "automaton binary").toLocalIterator())
+    def build(rows: pa.Table) -> pa.Table:
+        parts = sorted(zip(rows.column("item").to_pylist(), (w.encode().split(b" ") for w in rows.column("words").to_pylist())), key=lambda r: (r[0] or "", r[1]))
+        return pa.table({"automaton": pa.array([automaton(parts, window).packed()], pa.binary())})
+
+    shard = F.pmod(F.xxhash64("item", "start"), F.lit(1 + size // SHARD)).alias("shard")
+    built = parts.select("item", "words", shard).groupBy("shard").applyInArrow(build, "automaton binary")
+    return (bytes(r.automaton) for r in built.toLocalIterator())
 
 
 def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
