@@ -33,7 +33,7 @@ from ledgerleaf.llm.bpe import small_batches
 
 SHORTEST, LEAST, RATIO = 7, 2, 10
 #: Groups of letters; words of a block that meet in one task; rows and words of a product.
-GROUPS, TILE, ROWS = 5, 8192, 512
+GROUPS, TILE, ROWS = 5, 8192, 128
 #: Distinct words that a task counts before it lets them go, bytes of text read at once.
 HELD, TEXT = 200_000, 4 << 20
 #: Letters: a to z and the code points C0 to FF, which one byte each holds in Latin-1.
@@ -162,8 +162,8 @@ def near_pairs(words: list[bytes], block: np.ndarray, side: np.ndarray, crossed:
     left, right = [], []
     for begin in range(0, len(words), ROWS):
         end = min(begin + ROWS, len(words))
-        for c in range(begin, int(reach[end - 1]), 4 * ROWS):
-            d = min(c + 4 * ROWS, int(reach[end - 1]))
+        for c in range(begin, int(reach[end - 1]), 16 * ROWS):
+            d = min(c + 16 * ROWS, int(reach[end - 1]))
             distance = square[begin:end, None] + square[None, c:d] - 2 * (counts[begin:end] @ counts[c:d].T)
             a, b = np.nonzero((distance <= 2) & (distance > 0))
             a, b = a + begin, b + c
@@ -186,14 +186,10 @@ def _products(group: np.ndarray):
     """``word, n_near, best_n, best`` of rows sorted by block and length."""
     names = ["word", "n_near", "best_n", "best"]
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        edge = [True, *(x[:4] != y[:4] for x, y in zip(rows, rows[1:]))]
-        block = np.cumsum(edge) - 1
-        words = [r[5].encode("latin-1") for r in rows]
-        n = np.fromiter((r[6] for r in rows), np.int64, len(rows))
-        side, choice = (np.fromiter((r[k] for r in rows), np.int64, len(rows)) for k in (4, 0))
-        crossed = np.fromiter((r[2] != r[3] for r in rows), bool, len(rows))
-        a, b = near_pairs(words, block, side, crossed, choice, group)
+    def solve(rows: pa.RecordBatch, block: np.ndarray) -> pa.RecordBatch:
+        choice, i, j, side, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("choice", "i", "j", "tile", "n"))
+        words = [w.encode("latin-1") for w in rows.column("word").to_pylist()]
+        a, b = near_pairs(words, block, side, i != j, choice, group)
         source, near = np.concatenate([a, b]), np.concatenate([b, a])
         rank = np.zeros(len(words), np.int64)
         used = np.unique(near).tolist()
@@ -202,22 +198,29 @@ def _products(group: np.ndarray):
         source, near = source[order], near[order]
         at, first, count = np.unique(source, return_index=True, return_counts=True)
         best = near[first]
-        text = lambda which: pa.array([rows[i][5] for i in which.tolist()], pa.string())
-        return pa.RecordBatch.from_arrays([text(at), pa.array(count, pa.int64()), pa.array(n[best]), text(best)], names=names)
+        text = rows.column("word")
+        return pa.RecordBatch.from_arrays([text.take(pa.array(at)), pa.array(count, pa.int64()), pa.array(n[best]), text.take(pa.array(best))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            rows += zip(*(c.to_pylist() for c in b.columns))
-            if len(rows) > ROWS:
-                last = len(rows) - 1
-                while last and rows[last - 1][:4] == rows[-1][:4]:
-                    last -= 1
+            if b.num_rows:
+                held.append(b)
+                rows, block = blocks(held)
+                last = int(np.searchsorted(block, block[-1]))  # the last block may go on
                 if last:
-                    yield solve(rows[:last])
-                    rows = rows[last:]
-        if rows:
-            yield solve(rows)
+                    yield solve(rows.slice(0, last), block[:last])
+                held = [rows.slice(last)]
+        if held:
+            yield solve(*blocks(held))
+
+    def blocks(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        rows = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        new = np.zeros(rows.num_rows, bool)
+        for k in ("choice", "block", "i", "j"):
+            x = rows.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        return rows, np.cumsum(new)
 
     return run
 
