@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, count
 
 import numpy as np
@@ -53,33 +54,35 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Burrows-Wheeler transform of a sequence whose suffixes are sorted by ``depth`` symbols.
+    """Burrows-Wheeler transform of a sequence whose suffixes are sorted by at least ``depth`` symbols.
 
-    Symbol 0 separates pieces and is the last of the sequence.
+    Phrases of up to ``depth`` words are intervals of it. Symbol 0 separates pieces.
     """
 
     def __init__(self, sequence: np.ndarray, depth: int):
-        n, rank, width = len(sequence), sequence.astype(np.int64), 1
+        rank, width = sequence.astype(np.int64), 1
+        order = np.argsort(rank)
         while width < depth:
             key = rank * (int(rank.max()) + 1) + np.roll(rank, -width)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
-            rank = np.empty(n, np.int64)
+            rank = np.empty(len(key), np.int64)
             rank[order] = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
             width *= 2
-        order = np.argsort(rank, kind="stable")
-        self.n, self.symbols = n, int(sequence.max()) + 1
+        self.n, self.symbols = len(sequence), int(sequence.max()) + 1
         self.bwt = sequence[order - 1].astype(np.int64)
-        rows = np.argsort(self.bwt, kind="stable")
-        #: Symbol and row of the transform in ascending order: a place here is a place among the suffixes.
-        self.keys = self.bwt[rows] * n + rows
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """Symbol and row of the transform in ascending order: a place here is a place among the suffixes."""
+        return np.sort(self.bwt * self.n + np.arange(self.n))
 
     def start(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """First suffix of the extension: all smaller symbols, and the same symbol before the row."""
         return np.searchsorted(self.keys, symbol * self.n + row)
 
-    def extend(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all intervals: interval extended, symbol, new interval's start, size, and number of smaller neighbours."""
+    def extend(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all intervals: interval extended, symbol, size of the new interval, and number of smaller neighbours."""
         owner = np.repeat(np.arange(len(low)), size)
         rows = np.arange(len(owner)) + np.repeat(low - (np.cumsum(size) - size), size)
         key = np.sort(owner * self.symbols + self.bwt[rows])
@@ -89,7 +92,7 @@ class Index:
         below = first - (np.cumsum(size) - size)[owner]
         word = symbol > 0
         owner, symbol, times, below = owner[word], symbol[word], times[word], below[word]
-        return owner, symbol, self.start(symbol, low[owner]), times, below
+        return owner, symbol, times, below
 
 
 def mixed(hashes: list[np.ndarray]) -> np.ndarray:
@@ -133,24 +136,28 @@ def levels(sequence: np.ndarray, hashes: np.ndarray, filters: list[Filter]) -> t
     phrases, low, back, size = words[:, None], begin[words], begin[words], times[words]
     if not len(words):
         return np.zeros((0, depth), np.int64), size
-    ahead, behind = Index(sequence, depth), Index(sequence[::-1], depth)
+    # Steps to the right (even levels) use the second index, steps to the left the first; a step from d words needs d sorted symbols.
+    behind = Index(sequence[::-1], depth - 1 - depth % 2)
+    ahead = Index(sequence, depth - 2 + depth % 2) if depth > 2 else None
     for d in range(2, depth + 1):
         if d % 2:
-            owner, symbol, new, size, below = ahead.extend(low, size)
-            low, back = new, back[owner] + below
+            owner, symbol, size, below = ahead.extend(low, size)
+            if d < depth:
+                low, back = ahead.start(symbol, low[owner]), back[owner] + below
             phrases = np.column_stack([symbol, phrases[owner]])
             other = phrases[:, :-1]
         else:
-            owner, symbol, new, size, below = behind.extend(back, size)
-            low, back = low[owner] + below, new
+            owner, symbol, size, below = behind.extend(back, size)
+            if d < depth:
+                low, back = low[owner] + below, behind.start(symbol, back[owner])
             phrases = np.column_stack([phrases[owner], symbol])
             other = phrases[:, 1:]
         if d < depth:
             fits = filters[d - 1].may_hold(mixed([hashes[c] for c in phrases.T]))
         else:
             fits = filters[d - 2].may_hold(mixed([hashes[c] for c in other.T]))
+            return phrases[fits], size[fits]
         phrases, low, back, size = phrases[fits], low[fits], back[fits], size[fits]
-    return phrases, size
 
 
 def word_hash(lang: str, word: bytes) -> int:

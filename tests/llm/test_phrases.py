@@ -53,15 +53,24 @@ def test_levels_equal_plain_counting(symbols, depth):
     assert got == Counter(w for w in windows if 0 not in w)
 
 
-def test_both_directions_keep_step():
-    """An interval that has been extended on both sides holds the phrase in both indexes."""
+def test_index_steps_equal_a_sorted_list():
     rng = np.random.default_rng(3)
     s = np.append(rng.integers(0, 6, 500), 0)
-    ahead, behind = collocations.Index(s, 4), collocations.Index(s[::-1], 4)
-    for index, text in ((ahead, s), (behind, s[::-1])):
-        n, twice = len(text), np.concatenate([text, text])
-        order = sorted(range(n), key=lambda i: (tuple(twice[i : i + 4]), i))
-        assert index.bwt.tolist() == [int(twice[i - 1 + n * (i == 0)]) for i in order]
+    twice = np.concatenate([s, s])
+    suffixes = sorted(tuple(twice[i : i + 4].tolist()) for i in range(len(s)))
+    index = collocations.Index(s, 4)
+    for _ in range(50):
+        i = int(rng.integers(1, 490))
+        if 0 in s[i - 1 : i + 3]:
+            continue
+        phrase = tuple(s[i : i + 3].tolist())
+        low, high = (next((k for k, x in enumerate(suffixes) if x[:3] >= y), len(s)) for y in (phrase, (*phrase[:2], phrase[2] + 1)))
+        owner, symbol, times, below = index.extend(np.array([low]), np.array([high - low]))
+        before = Counter(int(s[k - 1]) for k in range(len(s)) if tuple(twice[k : k + 3].tolist()) == phrase)
+        assert dict(zip(symbol.tolist(), times.tolist())) == {c: n for c, n in before.items() if c}
+        assert below.tolist() == [sum(n for x, n in before.items() if x < c) for c in symbol.tolist()]
+        start = index.start(symbol, np.full(len(symbol), low))
+        assert [suffixes[k] for k in start.tolist()] == [(c, *phrase) for c in symbol.tolist()]
 
 
 @pytest.mark.parametrize("shard", [8 << 20, 200])
