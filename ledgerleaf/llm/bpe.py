@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import pieces
+from ledgerleaf.llm.memory import returned
 
 #: Pieces remembered by a task, and symbols indexed at once.
-WORDS, SYMBOLS = 600_000, 4_000_000
+WORDS, SYMBOLS = 300_000, 4_000_000
 #: Size of the table of pairs, as a power of two.
 SLOT_BITS = 19
 
@@ -291,7 +292,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.string())], names=[id_column, "ids", "decoded"])
 
-    return docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, decoded string")
+    return docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text")).mapInArrow(returned(run), f"`{id_column}` {kind}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -313,5 +314,5 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
             )
 
     return docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        returned(run), f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )

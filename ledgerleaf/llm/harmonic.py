@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions.session import saved
 from ledgerleaf.llm.bpe import encoder_of, small_batches
+from ledgerleaf.llm.memory import returned
 
 #: Tokens that a piece may waste in its class before it is cut once more.
 SLACK = 12
@@ -155,13 +156,13 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, id_c
         yield _rows(id_type, names, out)
 
     texts = docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text"))
-    level, depth = saved(texts.mapInArrow(first_level, schema), "packed-1"), 1
+    level, depth = saved(texts.mapInArrow(returned(first_level), schema), "packed-1"), 1
     done, left = level.filter("sequence_id IS NOT NULL"), level.filter("sequence_id IS NULL")
     parts = 0
     while parts != 1 and (pieces := left.count()) > LAST:
         depth, parts = depth + 1, max(1, min(pieces // SHARE, parts // 2 if parts else pieces))
         dealt = left.repartition(parts, F.xxhash64(id_column, "start")) if parts > 1 else left.coalesce(1)
-        level = saved(dealt.mapInArrow(again(depth), schema), f"packed-{depth}")
+        level = saved(dealt.mapInArrow(returned(again(depth)), schema), f"packed-{depth}")
         done, left = done.unionByName(level.filter("sequence_id IS NOT NULL")), level.filter("sequence_id IS NULL")
     placed = left.coalesce(1).mapInArrow(last, schema)
     return done.unionByName(placed).drop("bin_count")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.bpe import small_batches
+from ledgerleaf.llm.memory import returned
 
 #: Labelled rows of each class that the model may learn from.
 TRAIN_ROWS = 2_000
@@ -157,8 +158,9 @@ def fit(rows: DataFrame, share: float | None) -> tuple[np.ndarray, float]:
             number, bias = train(found, share)
             yield pa.RecordBatch.from_arrays([pa.array([number.astype("<f4").tobytes()]), pa.array([bias])], names=["number", "bias"])
 
-    features = rows.mapInArrow(_featurise, "buckets array<int>, times array<int>, label int")
-    model = features.coalesce(1).mapInArrow(learn, "number binary, bias double").collect()
+    features = rows.mapInArrow(returned(_featurise), "buckets array<int>, times array<int>, label int")
+    # The rows are few; the texts are read and cut into features by as many tasks as there are.
+    model = features.repartition(1).mapInArrow(returned(learn), "number binary, bias double").collect()
     if not model:
         share = 0.5 if share is None else min(max(share, 1e-3), 1 - 1e-3)
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
@@ -192,5 +194,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_column: str = "
             out = 1 / (1 + np.exp(-np.clip(up / np.maximum(parts, 1) + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*(f"c{i}" for i in range(len(names))), "score"])
 
-    scored = held.mapInArrow(run, f"{kinds}, score double")
+    scored = held.mapInArrow(returned(run), f"{kinds}, score double")
     return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("score").alias(name))
