@@ -1,6 +1,6 @@
 """Vector table: payload checks, record ids and idempotent upserts.
 
-Layout: parquet, partitioned by ``workspace_id`` and ``bucket``. The bucket is a
+Layout: versions of parquet (see :mod:`ledgerleaf.operators.snapshots`), partitioned by ``workspace_id`` and ``bucket``. The bucket is a
 hash of the document id, so that a large workspace is spread over many
 partitions while a document stays in one of them: a scoped search and a document
 replacement both touch few partitions.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerleaf.functions import ids, text
+from ledgerleaf.operators import snapshots
 
 DEFAULT_BUCKETS = 64
 COLUMNS = (
@@ -148,28 +149,22 @@ def upsert(
     *,
     version: str | None = None,
     replace_document: bool = False,
-) -> None:
-    """Upsert table rows (see :func:`records`) into the vector table at ``path``.
+    ledger: tuple[str, int] | None = None,
+) -> int:
+    """Upsert table rows (see :func:`records`) into the vector table at ``path``; the number of its version.
 
-    Only the touched partitions are read and rewritten. The commit replaces them
-    after all tasks have ended, so a lost executor only repeats tasks.
+    Only the touched partitions are read and written, as a new version (see
+    :mod:`ledgerleaf.operators.snapshots`). ``ledger`` is the stream and number of a batch that
+    may be delivered twice.
     """
-    columns = [*COLUMNS, *PARTITIONS]
-    batch = newest(new, version).select(*columns)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jpath):
-        existing = spark.read.schema(new.select(*columns).schema).parquet(path).select(*columns)
-        touched = batch.select(*PARTITIONS).distinct()
-        here = existing.join(touched, list(PARTITIONS), "left_semi").select(*columns)
-        batch = _merge(here, batch, replace_document)
-    (
-        batch.hint("rebalance", *PARTITIONS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
+    batch = newest(new, version).select(*COLUMNS, *PARTITIONS)
+    merge = lambda here, rows: _merge(here, rows, replace_document)
+    return snapshots.upsert(spark, path, batch, list(PARTITIONS), merge, ledger).number
+
+
+def table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The vector table as of a version, by default the last one."""
+    return snapshots.read(spark, path, version)
 
 
 def upsert_summary(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerleaf import schemas
+from ledgerleaf.operators import embed
+from ledgerleaf.plans import ingest
 from ledgerleaf.sources import admit, decode
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -70,3 +72,33 @@ def ingest_arrivals(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def ingest_into(
+    spark: SparkSession,
+    path: str,
+    checkpoint: str,
+    vector_path: str,
+    make_embedder: Callable[[], embed.Embedder],
+    *,
+    workspace_id: str,
+    stream: str | None = None,
+    max_files: int = 1000,
+    on_run: Callable[[ingest.Ingested, int], None] | None = None,
+    **options,
+) -> StreamingQuery:
+    """All stages over every micro-batch of new files; the vectors end in the table at ``vector_path``.
+
+    Exactly once: the number of the batch is committed together with its vectors. If the
+    process ends before that, the batch runs again on the version before; if it ends between
+    that and the commit of the stream, the repeated batch finds its number and changes nothing.
+    ``stream`` names the stream in the table's ledger, by default its checkpoint; ``on_run``
+    sees the tables of each run after its commit; ``options`` go to :func:`ingest.ingest`.
+    """
+
+    def handle(docs: DataFrame, batch_id: int) -> None:
+        done = ingest.ingest(docs, make_embedder, vector_path=vector_path, ledger=(stream or checkpoint, batch_id), **options)
+        if on_run is not None:
+            on_run(done, batch_id)
+
+    return ingest_arrivals(spark, path, checkpoint, handle, workspace_id=workspace_id, max_files=max_files)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import rows_of
-from ledgerleaf.operators import embed
+from ledgerleaf.operators import embed, store
 from ledgerleaf.plans import ingest
 from ledgerleaf.sources import admit, assemble, corpus, decode
 from ledgerleaf.streaming import arrivals
@@ -128,9 +128,9 @@ def test_ingestion_halts_per_document(spark, tmp_path):
         stages.setdefault(r.document_id, []).append((r.stage_no, r.tool_name, r.success))
     assert {k: len(v) for k, v in stages.items()} == {"good": 8, "halt": 5, "lost": 2}
     assert all(s for _, _, s in stages["halt"])
-    before = spark.read.parquet(path).count()
+    before = store.table(spark, path).count()
     run(spark, path)
-    assert spark.read.parquet(path).count() == before == out.chunks.count() > 0
+    assert store.table(spark, path).count() == before == out.chunks.count() > 0
 
 
 def test_failed_embedding_stops_its_document_only(spark, tmp_path):

@@ -121,7 +121,7 @@ def test_embedding_batches_order_and_failures(spark):
 
 
 def table(spark, path):
-    return {(r.record_id, r.text_content) for r in spark.read.parquet(path).collect()}
+    return {(r.record_id, r.text_content) for r in store.table(spark, path).collect()}
 
 
 def test_upsert_is_idempotent_and_replaces(spark, vectors, tmp_path):
@@ -135,7 +135,7 @@ def test_upsert_is_idempotent_and_replaces(spark, vectors, tmp_path):
     assert len(table(spark, path)) == 60 and sum(t == "new" for _, t in table(spark, path)) == 2
     store.upsert(spark, change, path, replace_document=True)
     assert len(table(spark, path)) == 52
-    hits = retrieve.top_k(spark.read.parquet(path), asked(spark, *REQUESTS[1:2]), buckets=store.DEFAULT_BUCKETS)
+    hits = retrieve.top_k(store.table(spark, path), asked(spark, *REQUESTS[1:2]), buckets=store.DEFAULT_BUCKETS)
     assert {(r.query_id, r["rank"], r.record_id) for r in hits.collect()} == brute(REQUESTS[1:2])
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(workspace_id" in plan or "workspace_id#" in plan.split("PartitionFilters:")[1][:200]
