@@ -143,6 +143,7 @@ SQL["g3_upsert"] = query(
     """SELECT record_id, workspace_id, CASE WHEN vec_id % 3 = 1 THEN 'old ' || chunk_id ELSE concat('new ', chunk_id, ' v', 1 + vec_id % 2) END AS text_content FROM stored""",
     "stored",
 )
+SQL["g3_stored_upsert"] = SQL["g3_upsert"]
 SQL["g4_stored_rows"] = query(
     """SELECT record_id, workspace_id, document_id, document_type, chunk_id, chunk_index, 'given' AS embedding_model, 64 AS vector_dimensions,
     text_content, len(embedding) AS size, round(list_sum(embedding::double[]), 6) AS vector_sum FROM stored""",
@@ -170,7 +171,7 @@ SQL["h1_request_checks"] = query(
     WHEN len(list_filter(ids, lambda x: trim(x) = '')) > 0 THEN 'blank_document_id'
     WHEN e.embedding IS NULL OR conv_id % 13 = 9 THEN 'missing_vector' WHEN conv_id % 13 = 8 THEN 'dimension_mismatch'
     WHEN top_k < 1 THEN 'top_k_too_small' WHEN top_k > 50 THEN 'top_k_too_large' END AS error
-    FROM faulty LEFT JOIN embeddings e ON e.vec_id = query_id % 97""",
+    FROM faulty CROSS JOIN (SELECT max(vec_id) + 1 AS n FROM embeddings) LEFT JOIN embeddings e ON e.vec_id = (conv_id * 31 + turn) % n""",
     "faulty",
 )
 cte(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ledgerleaf import constants as K
-from oracles import section_efgh  # noqa: F401 - defines the retrieval CTEs
+from oracles import section_efgh
 from oracles.base import cte, lit, query, strip, words
 from oracles.section_bcd import amount
+from queries import fixtures as X
 
 SQL: dict[str, str] = {}
 
@@ -55,18 +56,24 @@ SQL["i9_scoped_totals"] = query(
 )
 cte(
     "run",
-    """SELECT document_id, key, CASE WHEN key % 37 = 7 THEN '' ELSE workspace_id END AS ws,
-    CASE WHEN key % 37 IN (3, 7) THEN 'upload_document' WHEN key % 37 = 5 THEN 'parse_document' WHEN NOT is_valid THEN 'validate_document' END AS stage,
-    CASE WHEN key % 37 = 3 THEN 'Uploaded file is empty.' WHEN key % 37 = 5 THEN 'corrupted_csv' END AS why
-    FROM ext JOIN gjudged_status USING (document_id)""",
+    f"""SELECT CASE WHEN key % 37 = 11 THEN '' ELSE document_id END AS document_id, key, CASE WHEN key % 37 = 7 THEN '' ELSE workspace_id END AS ws,
+    CASE WHEN key % 37 IN (3, 7) THEN 'upload_document' WHEN key % 37 = 5 THEN 'parse_document' WHEN NOT is_valid THEN 'validate_document'
+      WHEN key % 37 = 11 THEN {lit(K.STAGES[5])} WHEN key % 37 = 13 THEN {lit(K.STAGES[6])} WHEN key % 37 = 17 THEN {lit(K.STAGES[7])} END AS stage,
+    CASE WHEN key % 37 = 3 THEN 'Uploaded file is empty.' WHEN key % 37 = 5 THEN 'corrupted_csv' WHEN NOT is_valid THEN NULL WHEN key % 37 = 11 THEN 'missing_document_id'
+      WHEN key % 37 = 13 THEN 'dimension_mismatch: expected {X.SMALL}, got 3' WHEN key % 37 = 17 THEN 'duplicate_chunk_id' END AS why
+    FROM ext JOIN gjudged_status USING (document_id), range(2) AS copies(c) WHERE c = 0 OR key % 37 = 17""",
     "ext", "gjudged_status",
 )
-SQL["j1_staged_halt"] = query("SELECT document_id, stage AS failed_stage, why AS error FROM run", "run")
+SQL["j1_staged_halt"] = query("SELECT document_id, CASE WHEN ws <> '' THEN stage END AS failed_stage, stage IS NULL AS success FROM run", "run")
+SQL["j1_stored_documents"] = query(
+    """SELECT run.ws AS workspace_id, document_id, count(*) AS stored_count FROM run JOIN valid_chunks USING (document_id) WHERE stage IS NULL GROUP BY ALL""",
+    "run", "valid_chunks",
+)
 SQL["j2_stage_audit"] = query(
     f"""SELECT document_id, n AS stage_no, tool AS tool_name, NOT (tool = coalesce(stage, '') AND stage <> 'validate_document') AS success,
     CASE WHEN tool = stage AND stage <> 'validate_document' THEN why END AS error
     FROM run, (SELECT unnest({words(K.STAGES)}) AS tool, generate_subscripts({words(K.STAGES)}, 1) AS n)
-    WHERE ws <> '' AND n <= CASE stage WHEN 'upload_document' THEN 1 WHEN 'parse_document' THEN 2 WHEN 'validate_document' THEN 5 ELSE 8 END""",
+    WHERE ws <> '' AND n <= coalesce(list_position({words(K.STAGES)}, stage), 8)""",
     "run",
 )
 SQL["j3_result_rows"] = query(
@@ -88,8 +95,20 @@ SQL["j3_question_results"] = query(
     FROM faulty)""",
     "faulty",
 )
+_line = "concat(CASE WHEN k % 7 = 3 THEN 'INVOICE' ELSE 'RECEIPT' END, ' of order ', o_orderkey, ' for customer ', o_custkey)"
+cte(
+    "arrived",
+    f"""SELECT k AS document_id, concat('=== DOCUMENT SUMMARY ===', {_n}, 'Document Type: Receipt', {_n}, 'Document ID: {'x' * 36}', {_n}, 'Validation Status: Valid', {_n}, {_n},
+    '=== DOCUMENT TOTALS & CURRENCY ===', {_n}, 'Currency: INR', {_n}, {_n}, '=== EXTRACTED PAGE TEXT ===', {_n}, '[Page 1]', {_n}, string_agg({_line}, {_n} ORDER BY o_orderkey)) AS t
+    FROM (SELECT o_custkey // 10 AS k, o_orderkey, o_custkey FROM orders) WHERE k % 7 <> 3 GROUP BY k""",
+)
+section_efgh.chunked("arrived_chunks", "arrived")
+SQL["j4_arriving_vectors"] = query("SELECT 'Receipt' AS document_type, idx AS chunk_index, regexp_replace(piece, 'x+\\nValidation', 'x' || chr(10) || 'Validation') AS text_content FROM arrived_chunks", "arrived_chunks")
 SQL["j5_latency_summary"] = """
 SELECT event_type AS stage, count(*) AS runs, round(avg(value), 6) AS avg_ms, max(value) AS max_ms,
 quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY event_type
 """
-SQL["j6_workspace_isolation"] = query("SELECT query_id, record_id FROM hits_l2 h JOIN req USING (query_id) WHERE h.workspace_id <> ws", "hits_l2", "req")
+SQL["j6_workspace_isolation"] = query(
+    """SELECT query_id, least(top_k, (SELECT count(*) FROM embeddings WHERE vec_id % 3 = (query_id // 1000) % 2)) AS hits, (query_id // 1000) % 2 AS side, 0 AS "foreign" FROM req""",
+    "req",
+)

@@ -152,6 +152,20 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SMALL = 8
+
+
+def faulty_embedder():
+    """Short vectors for texts of documents whose key is a multiple of 37 and 13 more."""
+    import re
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        keys = [re.search(r"Document ID: doc-(\d+)", t) for t in texts]
+        return [[float(len(t))] * (3 if k and int(k[1]) % 37 == 13 else SMALL) for k, t in zip(keys, texts)]
+
+    return embed
+
+
 # Faults in requests, by key.
 FAULTY_SQL = {
     "workspace_id": "CASE WHEN conv_id % 13 = 1 THEN ' ' ELSE workspace_id END",

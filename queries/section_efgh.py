@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import ids
+from ledgerleaf.functions.session import new_path
 from ledgerleaf.functions.vectors import distance
 from ledgerleaf.operators import approx, chunk, embed, retrieve, store
 from ledgerleaf.sources.corpus import read, texts, with_exprs
@@ -161,6 +162,15 @@ def g3_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merged(old, batch, version="version").select("record_id", "workspace_id", "text_content")
 
 
+def g3_stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the stored table: two upserts, read back from the last version."""
+    old, batch = _upsert_sides(spark, sf_dir)
+    path = new_path(spark, "vectors")
+    store.upsert(spark, old, path)
+    store.upsert(spark, batch, path, version="version")
+    return store.table(spark, path).select("record_id", "workspace_id", "text_content")
+
+
 def g4_stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.records(X.vectors(spark, sf_dir)).select(
         "record_id", "workspace_id", "document_id", "document_type", "chunk_id", "chunk_index",
@@ -191,7 +201,8 @@ def g5_upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h1_request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = X.faulty_questions(spark, sf_dir)
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    joined = asked.withColumn("vec_id", F.col("query_id") % 97).join(rows, "vec_id", "left").withColumn(
+    total = rows.agg((F.max("vec_id") + 1).alias("n"))
+    joined = asked.withColumn("n", total.scalar()).withColumn("vec_id", F.expr("(conv_id * 31 + turn) % n")).join(rows, "vec_id", "left").withColumn(
         "query_embedding",
         F.when(F.expr("conv_id % 13 = 8"), F.slice("embedding", 1, 10)).when(F.expr("conv_id % 13 <> 9"), F.col("embedding")),
     )
