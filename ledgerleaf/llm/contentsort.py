@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions.session import saved
+from ledgerleaf.llm.memory import settled
 
 #: Bytes of the text in the split key.
 HEAD = 24
@@ -126,7 +126,7 @@ def _closed(docs: DataFrame, id_column: str, text_column: str, carry: list[str],
     sent = ranges.select("text", "id", F.sha2("text", 256).alias("text_sha256"), *held)
     kinds = {f.name: f.dataType.simpleString() for f in sent.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + f", keep {kinds['id']}, size bigint, first boolean, edge boolean, part int"
-    found = saved(sent.mapInArrow(_neighbours(names, first_only), schema), "sorted")
+    found = settled(sent.mapInArrow(_neighbours(names, first_only), schema), "sorted")
     # Two runs of each range at most, so their number is bounded by twice the number of ranges.
     ends = found.filter("edge AND first").groupBy("text_sha256").agg(
         F.min(F.struct(F.col("keep").isNull().alias("none"), "keep", "part")).alias("best"), F.sum("size").alias("all")

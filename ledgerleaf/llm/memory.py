@@ -1,4 +1,4 @@
-"""Memory of Python workers, which Spark keeps alive between tasks."""
+"""Memory and disk that finished tasks and jobs hold."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerleaf.functions.session import saved
 
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -27,3 +30,16 @@ def returned(task: Task) -> Task:
                 trim(0)
 
     return run
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """:func:`saved`, and what its making has left in the executors' folders goes."""
+    out = saved(df, label)
+    settle(out.sparkSession)
+    return out

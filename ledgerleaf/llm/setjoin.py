@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions.session import saved
+from ledgerleaf.llm.memory import settle, settled
 from ledgerleaf.llm.bpe import small_batches
 from ledgerleaf.llm.components import components
 
@@ -449,9 +449,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int,
         both = with_a.join(maps, F.col("b") == F.col("k")).select("a", "b", "na", F.col("n").alias("nb"), "ma", F.col("map").alias("mb"))
         return both.mapInArrow(near, "a bigint, b bigint")
 
-    close = saved(nearer(pairs, sizes.select(F.col("id").alias("k"), "n", "map")), "near")
+    close = settled(nearer(pairs, sizes.select(F.col("id").alias("k"), "n", "map")), "near")
     ends = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    sets = saved(_sets(_likely(texts, ends).join(ends, "id", "left_semi"), words), "sets").dropDuplicates(["id"])
+    sets = settled(_sets(_likely(texts, ends).join(ends, "id", "left_semi"), words), "sets").dropDuplicates(["id"])
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -464,7 +464,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int,
 
     # Whole sets are sent for few pairs only: wider maps tell long texts apart as well.
     wide = sets.select(F.col("id").alias("k"), (F.octet_length("shingles") / 8).cast("bigint").alias("n"), F.col("wide").alias("map"))
-    close = saved(nearer(close, wide), "nearer")
+    close = settled(nearer(close, wide), "nearer")
     one = close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return two.mapInArrow(equal, "a bigint, b bigint")
@@ -539,16 +539,17 @@ def _close_pairs(entries: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column, n_shingles, component_id`` of every row: sets linked at a Jaccard similarity of ``percent`` / 100."""
     spark = docs.sparkSession
+    settle(spark)
     texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     known = texts.filter("id IS NOT NULL")
     buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = known.mapInArrow(_entered(words, percent, buckets), SENT)
-    met = saved(sent.repartition(F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(_stars, STARS), "stars")
+    met = settled(sent.repartition(F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(_stars, STARS), "stars")
 
     nameless = texts.filter("id IS NULL").mapInArrow(_described(words), "id bigint, n bigint, mark binary, map binary")
     described = met.filter(F.col("kind") == ROWS).select(F.col("a").alias("id"), F.col("b").alias("n"), "mark", "map").unionByName(nameless)
     same = described.filter("n > 0 AND id IS NOT NULL").groupBy("mark").agg(F.min("id").alias("vertex"))
-    rows = saved(described.join(same, "mark", "left").select("id", "n", "map", "vertex"), "vertices")
+    rows = settled(described.join(same, "mark", "left").select("id", "n", "map", "vertex"), "vertices")
     vertices = rows.filter("id = vertex").dropDuplicates(["id"])
     to = rows.filter("vertex IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("vertex").alias("vertex"))
 
@@ -559,9 +560,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         return found.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), *keep)
 
     sure = of_vertices(met.filter(F.col("kind") == LINKS).select("a", "b").distinct())
-    stars = saved(of_vertices(met.filter("kind = 0"), "key", "open", "many"), "candidates")
+    stars = settled(of_vertices(met.filter("kind = 0"), "key", "open", "many"), "candidates")
     first = _verified(stars.filter("a <> b").select("a", "b").distinct(), known, vertices, words, percent)
-    links = saved(sure.unionByName(first), "verified")
+    links = settled(sure.unionByName(first), "verified")
     roots = components(links)
 
     # Keys whose entries lie in several components, and that have more pairs than the star tried.
@@ -570,7 +571,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         return df.join(r, F.col(column) == F.col("rv"), "left").withColumn(name, F.coalesce("rr", column)).drop("rv", "rr")
 
     apart = rooted(rooted(stars.filter("open"), "a", "ra"), "b", "rb").filter("ra <> rb")
-    apart = saved(apart.groupBy("key").agg(F.max("many").alias("many")), "apart")
+    apart = settled(apart.groupBy("key").agg(F.max("many").alias("many")), "apart")
     if apart.isEmpty():
         final = roots
     else:
@@ -580,11 +581,11 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         hidden = apart.filter("many").select("key")
         wanted = rooted(ends.join(hidden, "key", "left_semi").select("vertex").distinct(), "vertex", "root").select("root").distinct()
         members = rooted(to, "vertex", "root").join(wanted, "root", "left_semi").select("id", "vertex")
-        members = saved(members, "members")
+        members = settled(members, "members")
         keys = spark.sparkContext.broadcast(_bits(hidden.mapInArrow(_open_cells, "cell bigint")))
         again = _likely(known, members.select("id").distinct()).mapInArrow(_members(words, percent, keys), "key bigint, id bigint")
         again = again.join(hidden, "key", "left_semi").join(members, "id").select("key", "vertex")
-        entries = saved(rooted(ends.unionByName(again).distinct(), "vertex", "root"), "entries")
+        entries = settled(rooted(ends.unionByName(again).distinct(), "vertex", "root"), "entries")
         pairs = _close_pairs(entries.join(vertices.select(F.col("id").alias("vertex"), "n", "map"), "vertex"), percent).distinct()
         tried = stars.select("a", "b").distinct()
         second = _verified(pairs.join(tried, ["a", "b"], "left_anti"), known, vertices, words, percent)
