@@ -10,7 +10,7 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.functions.session import saved
+from ledgerleaf.functions.session import new_path
 
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -38,8 +38,24 @@ def settle(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """:func:`saved`, and what its making has left in the executors' folders goes."""
-    out = saved(df, label)
-    settle(out.sparkSession)
+def settled(df: DataFrame, label: str, into: list[str] | None = None) -> DataFrame:
+    """A table written once to the shared folder and read back; what its making has left in the executors' folders goes.
+
+    ``into`` takes the path, for :func:`drop` when later tables have been written from it.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if into is not None:
+        into.append(path)
+    settle(spark)
     return out
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing will read again."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()

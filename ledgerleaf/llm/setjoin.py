@@ -39,9 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.memory import settle, settled
 from ledgerleaf.llm.bpe import small_batches
 from ledgerleaf.llm.components import components
+from ledgerleaf.llm.memory import drop, settle, settled
 
 #: Shingles that a task resolves together, words it remembers, bits of a set's parity map.
 TOKENS, WORDS, BITS = 400_000, 150_000, 512
@@ -430,7 +430,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, shingles binary, wide binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int, percent: int, used: list[str]) -> DataFrame:
     """The pairs ``a, b`` of vertices that are linked."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,9 +449,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int,
         both = with_a.join(maps, F.col("b") == F.col("k")).select("a", "b", "na", F.col("n").alias("nb"), "ma", F.col("map").alias("mb"))
         return both.mapInArrow(near, "a bigint, b bigint")
 
-    close = settled(nearer(pairs, sizes.select(F.col("id").alias("k"), "n", "map")), "near")
+    close = settled(nearer(pairs, sizes.select(F.col("id").alias("k"), "n", "map")), "near", used)
     ends = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    sets = settled(_sets(_likely(texts, ends).join(ends, "id", "left_semi"), words), "sets").dropDuplicates(["id"])
+    sets = settled(_sets(_likely(texts, ends).join(ends, "id", "left_semi"), words), "sets", used).dropDuplicates(["id"])
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -464,7 +464,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int,
 
     # Whole sets are sent for few pairs only: wider maps tell long texts apart as well.
     wide = sets.select(F.col("id").alias("k"), (F.octet_length("shingles") / 8).cast("bigint").alias("n"), F.col("wide").alias("map"))
-    close = settled(nearer(close, wide), "nearer")
+    close = settled(nearer(close, wide), "nearer", used)
     one = close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return two.mapInArrow(equal, "a bigint, b bigint")
@@ -540,11 +540,12 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
     """``id_column, n_shingles, component_id`` of every row: sets linked at a Jaccard similarity of ``percent`` / 100."""
     spark = docs.sparkSession
     settle(spark)
+    used: list[str] = []
     texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     known = texts.filter("id IS NOT NULL")
     buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = known.mapInArrow(_entered(words, percent, buckets), SENT)
-    met = settled(sent.repartition(F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(_stars, STARS), "stars")
+    met = settled(sent.repartition(F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(_stars, STARS), "stars", used)
 
     nameless = texts.filter("id IS NULL").mapInArrow(_described(words), "id bigint, n bigint, mark binary, map binary")
     described = met.filter(F.col("kind") == ROWS).select(F.col("a").alias("id"), F.col("b").alias("n"), "mark", "map").unionByName(nameless)
@@ -561,8 +562,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
 
     sure = of_vertices(met.filter(F.col("kind") == LINKS).select("a", "b").distinct())
     stars = settled(of_vertices(met.filter("kind = 0"), "key", "open", "many"), "candidates")
-    first = _verified(stars.filter("a <> b").select("a", "b").distinct(), known, vertices, words, percent)
+    first = _verified(stars.filter("a <> b").select("a", "b").distinct(), known, vertices, words, percent, used)
     links = settled(sure.unionByName(first), "verified")
+    drop(spark, used)
     roots = components(links)
 
     # Keys whose entries lie in several components, and that have more pairs than the star tried.
@@ -581,15 +583,16 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         hidden = apart.filter("many").select("key")
         wanted = rooted(ends.join(hidden, "key", "left_semi").select("vertex").distinct(), "vertex", "root").select("root").distinct()
         members = rooted(to, "vertex", "root").join(wanted, "root", "left_semi").select("id", "vertex")
-        members = settled(members, "members")
+        members = settled(members, "members", used)
         keys = spark.sparkContext.broadcast(_bits(hidden.mapInArrow(_open_cells, "cell bigint")))
         again = _likely(known, members.select("id").distinct()).mapInArrow(_members(words, percent, keys), "key bigint, id bigint")
         again = again.join(hidden, "key", "left_semi").join(members, "id").select("key", "vertex")
-        entries = settled(rooted(ends.unionByName(again).distinct(), "vertex", "root"), "entries")
+        entries = settled(rooted(ends.unionByName(again).distinct(), "vertex", "root"), "entries", used)
         pairs = _close_pairs(entries.join(vertices.select(F.col("id").alias("vertex"), "n", "map"), "vertex"), percent).distinct()
         tried = stars.select("a", "b").distinct()
-        second = _verified(pairs.join(tried, ["a", "b"], "left_anti"), known, vertices, words, percent)
+        second = _verified(pairs.join(tried, ["a", "b"], "left_anti"), known, vertices, words, percent, used)
         final = components(links.unionByName(second))
+        drop(spark, used)
     found = rows.join(final.select(F.col("vertex"), "root"), "vertex", "left")
     return found.select(
         F.col("id").alias(id_column),
