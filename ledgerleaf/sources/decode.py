@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf import constants as K
 from ledgerleaf import schemas
 from ledgerleaf.functions import text
 from ledgerleaf.sources import admit
@@ -63,6 +64,9 @@ def parse_text(files: DataFrame) -> DataFrame:
 def _csv_cells(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Cells of CSV texts; quoted line ends and ragged rows need a real CSV reader."""
 
+    # A field may be as long as an admitted file.
+    csv.field_size_limit(K.MAX_FILE_BYTES)
+
     def cells(body: str | None):
         if body is None:
             return None, None

@@ -159,3 +159,11 @@ def test_arrivals_are_taken_once(spark, folder, tmp_path_factory):
     # Refused files are rows with a reason.
     assert go() == 8 == go()
     assert spark.read.parquet(out).filter("reject_reason is not null").count() == 1
+
+
+def test_a_field_may_be_as_long_as_a_file(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("Name,Text\na,\"" + "x\n" * 500_000 + "\"\n")
+    files = arrivals.as_uploads(admit.scan_files(spark, str(tmp_path)), "ws")
+    got = decode.parse_files(admit.catalog(admit.split_admitted(files)[0])).collect()
+    assert [r.parse_error for r in got] == [None]
+    assert len(got[0].tables[0].rows[0][1]) == 999_999
