@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import islice
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerleaf import constants as K
 from ledgerleaf.functions import text
 from ledgerleaf.functions.stages import counted
+from ledgerleaf.operators import keywords
 from ledgerleaf.rules import BUILTIN_RULES, Rule
 
 RULES_PER_PASS = 200  # rules held in one expression; longer lists take more passes
@@ -84,13 +84,6 @@ def rule_scores(df: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFra
     )
 
 
-def _read_rules(rules_df: DataFrame) -> Iterator[Rule]:
-    """Stream a rule table in rule order; one slice at a time stays on the driver."""
-    columns = ["doc_type", "primary", "secondary", "headers", "negative"]
-    for row in rules_df.orderBy("rule_no").select(*columns).toLocalIterator():
-        yield Rule(row[0], *(tuple(words or ()) for words in row[1:]))
-
-
 def _best_of(rules: Sequence[Rule], first_no: int, corpus: Column, headers: Column) -> Column:
     """Highest score, and among equals the first rule, of one slice of rules."""
     table = F.array(*(_rule_literal(n, r) for n, r in enumerate(rules, first_no)))
@@ -108,6 +101,17 @@ def _best_of(rules: Sequence[Rule], first_no: int, corpus: Column, headers: Colu
     return F.array_max(ranked)
 
 
+def _with_best_literal(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Best rule of a list; a long one is applied in slices, each one more narrow projection."""
+    if not rules:
+        raise ValueError("the rule list is empty")
+    corpus, headers = F.col("corpus_upper"), F.col("headers_upper")
+    for first in range(0, len(rules), RULES_PER_PASS):
+        here = _best_of(rules[first : first + RULES_PER_PASS], first + 1, corpus, headers)
+        df = df.withColumn("_best", here if first == 0 else F.greatest(F.col("_best"), here))
+    return df
+
+
 def _signals(label: str, words: Column, corpus: Column) -> Column:
     tag = lambda k: F.concat(F.lit(f"{label}: '"), k, F.lit("'"))
     return F.transform(F.sort_array(_hits(words, corpus)), tag)
@@ -116,25 +120,17 @@ def _signals(label: str, words: Column, corpus: Column) -> Column:
 def classify(df: DataFrame, rules: Sequence[Rule] | DataFrame | None = None) -> DataFrame:
     """Add document_type, confidence, matched_rules and reason to parsed documents.
 
-    ``df`` needs ``pages`` and ``tables``. ``rules`` may be a sequence of rules or
-    a table ``rule_no, doc_type, primary, secondary, headers, negative``. The plan
-    is narrow: no shuffle, and the rules are literals of the expression. A long
-    rule table is applied in slices, each one more narrow projection.
+    ``df`` needs ``pages`` and ``tables``. ``rules`` may be a sequence of rules, which
+    become literals of the expression, or a table ``rule_no, doc_type, primary,
+    secondary, headers, negative`` of any length, which becomes an automaton over its
+    words. Both plans are narrow: no document is shuffled.
     """
-    source = BUILTIN_RULES if rules is None else rules
-    stream = _read_rules(source) if isinstance(source, DataFrame) else iter(source)
     out = normalized(df)
+    if isinstance(rules, DataFrame):
+        out = keywords.with_best_rule(out, rules, "corpus_upper", "headers_upper", "_best")
+    else:
+        out = _with_best_literal(out, BUILTIN_RULES if rules is None else rules)
     corpus, headers = F.col("corpus_upper"), F.col("headers_upper")
-    best, first_no = None, 1
-    while part := list(islice(stream, RULES_PER_PASS)):
-        here = _best_of(part, first_no, corpus, headers)
-        if best is None:
-            out = out.withColumn("_best", here)
-        else:
-            out = out.withColumn("_best", F.greatest(F.col("_best"), here))
-        best, first_no = "_best", first_no + len(part)
-    if best is None:
-        raise ValueError("the rule list is empty")
 
     b = F.col("_best")
     scored = b["points"] > 0
