@@ -29,6 +29,15 @@ cte(
 )
 classified("ucls", "doc_bodies", "user_words")
 SQL["b7_user_rules"] = query("SELECT document_id, document_type, confidence, matched_rules FROM ucls", "ucls")
+cte(
+    "customer_words",
+    """SELECT c_custkey + 1 AS rule_no, c_name AS doc_type, k AS kind_, p AS points, w AS word FROM customer, (VALUES (1)) t(x),
+    LATERAL (SELECT * FROM (VALUES ('Primary', 40, 'N' || lpad(c_custkey::varchar, 8, '0')),
+      ('Secondary', 15, lpad(c_nationkey::varchar, 2, '0') || '/'), ('Header', 20, CASE WHEN c_mktsegment = 'BUILDING' THEN 'QTY' END),
+      ('Negative', 0, '9' || lpad((c_custkey % 100)::varchar, 2, '0') || '.')) v(k, p, w)) WHERE w IS NOT NULL""",
+)
+classified("ccls", "doc_bodies", "customer_words")
+SQL["b7_customer_rules"] = query("SELECT document_id, document_type, confidence, matched_rules FROM ccls", "ccls")
 SQL["b8_type_distribution"] = query(
     "SELECT document_type, count(*) AS documents, round(avg(confidence), 6) AS avg_confidence FROM cls GROUP BY document_type", "cls"
 )

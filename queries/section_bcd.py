@@ -68,6 +68,23 @@ def b7_user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def b7_customer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule for each customer: as many rules as the table has rows."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    key = F.col("c_custkey")
+    rules = read(spark, sf_dir, "customer").select(
+        (key + 1).alias("rule_no"),
+        F.col("c_name").alias("doc_type"),
+        F.array(F.concat(F.lit("N"), F.lpad(key.cast("string"), 8, "0"))).alias("primary"),
+        F.array(F.concat(two(F.col("c_nationkey")), F.lit("/"))).alias("secondary"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("QTY"))).alias("headers"),
+        F.array(F.concat(F.lit("9"), two(key % 100), F.lit("."))).alias("negative"),
+    )
+    return C.classify(X.documents(spark, sf_dir), rules).select(
+        "document_id", "document_type", "confidence", F.array_join("matched_rules", "|").alias("matched_rules")
+    )
+
+
 def b8_type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.type_distribution(X.classified(spark, sf_dir))
 
