@@ -84,6 +84,7 @@ SQL["j3_result_rows"] = query(
       WHEN stage IS NOT NULL THEN concat('Pipeline stopped at stage ''', stage, ''': ', why) END AS error_message FROM run""",
     "run",
 )
+SQL["j1_resumed_run"] = SQL["j3_result_rows"]
 SQL["j3_question_results"] = query(
     f"""SELECT query_id, why IS NULL AS success, 'QUERY' AS mode, CASE WHEN blank THEN 'UNKNOWN' ELSE workspace_id END AS workspace_id,
     CASE WHEN why IS NOT NULL AND NOT blank THEN 'query_documents' END AS failed_stage,

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text, values
-from ledgerleaf.functions.session import new_path
+from ledgerleaf.functions.session import new_path, saved
 from ledgerleaf.operators import ask, embed, retrieve, store
-from ledgerleaf.plans import ingest, reports
+from ledgerleaf.plans import ingest, reports, resume
 from ledgerleaf.sources import corpus
 from ledgerleaf.sources.corpus import read, texts
 from ledgerleaf.streaming import arrivals
@@ -90,8 +90,8 @@ def i9_scoped_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- J: whole runs ----------------------------------------------------------------------------
-def _whole_run(spark: SparkSession, sf_dir: str, vector_path: str | None = None) -> ingest.Ingested:
-    """All eight stages, with documents that fail in each that can: refused at upload, not parsed,
+def _faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that fail in each stage that can: refused at upload, not parsed,
     invalid, without an identifier (prepare), with a vector of another size (embed), listed twice (store)."""
     reject = F.when(F.expr("key % 37 = 3"), "Uploaded file is empty.")
     lost = F.when(F.expr("key % 37 = 5"), "corrupted_csv")
@@ -99,8 +99,21 @@ def _whole_run(spark: SparkSession, sf_dir: str, vector_path: str | None = None)
     docs = X.documents(spark, sf_dir).withColumns({"reject_reason": reject, "parse_error": lost, "workspace_id": blank})
     nameless = F.when(F.expr("key % 37 = 11"), "").otherwise(F.col("document_id"))
     twice = F.explode(F.expr("sequence(1, CASE WHEN key % 37 = 17 THEN 2 ELSE 1 END)"))
-    docs = docs.withColumn("document_id", nameless).withColumn("copy", twice).drop("copy")
-    return ingest.ingest(docs, X.faulty_embedder, dimensions=X.SMALL, vector_path=vector_path)
+    return docs.withColumn("document_id", nameless).withColumn("copy", twice).drop("copy")
+
+
+def _whole_run(spark: SparkSession, sf_dir: str, vector_path: str | None = None) -> ingest.Ingested:
+    """All eight stages over documents that fail in each of them."""
+    return ingest.ingest(_faulty_documents(spark, sf_dir), X.faulty_embedder, dimensions=X.SMALL, vector_path=vector_path)
+
+
+def j1_resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries, the second with all documents: the same rows as of one run over all."""
+    docs = saved(_faulty_documents(spark, sf_dir), "documents")
+    options = {"state_path": new_path(spark, "state"), "vector_path": new_path(spark, "vectors"), "dimensions": X.SMALL, "buckets": 4}
+    for part in (docs.filter("key % 3 <> 1"), docs):
+        out, _ = resume.ingest_changed(part, X.faulty_embedder, **options)
+    return out
 
 
 def j1_staged_halt(spark: SparkSession, sf_dir: str) -> DataFrame:
