@@ -43,5 +43,5 @@ LINE_ITEM = _struct(
     amount=S,
 )
 ISSUE = _struct(rule_id=S, severity=S, field=S, message=S)
-CSV_CELLS = _struct(rows=T.ArrayType(T.ArrayType(S)), error=S)
 IMAGE_HEADER = _struct(width=T.IntegerType(), height=T.IntegerType(), format=S)
+IMAGE_SIZE = _struct(width=T.IntegerType(), height=T.IntegerType())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerleaf import schemas
+from ledgerleaf.functions import text
 from ledgerleaf.operators import embed
 from ledgerleaf.plans import ingest
 from ledgerleaf.sources import admit, decode
@@ -36,15 +36,10 @@ def as_uploads(files: DataFrame, workspace_id: str) -> DataFrame:
 
 
 def parsed_batch(files: DataFrame, workspace_id: str) -> DataFrame:
-    """Documents of a batch, stable ids included: parsed ones, and refused files with their reason."""
-    admitted, refused = admit.split_admitted(as_uploads(files, workspace_id))
-    parsed = decode.parse_files(admit.catalog(admitted))
-    rows = refused.withColumn("document_id", admit.document_id()).select(
-        "document_id", "workspace_id",
-        F.array().cast(schemas.PAGES).alias("pages"), F.array().cast(schemas.TABLES).alias("tables"),
-        F.lit(0).alias("page_count"), F.lit("FAILED").alias("parsing_status"), "reject_reason",
-    )
-    return parsed.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rows, allowMissingColumns=True)
+    """Documents of a batch from one scan, stable ids included: parsed ones, and refused files with their reason."""
+    named = admit.checked(as_uploads(files, workspace_id)).withColumn("document_id", admit.document_id())
+    mime = F.lower(text.strip(F.col("mime_type")))
+    return decode.parse_files(named.withColumn("mime_type", mime).withColumnRenamed("length", "file_size"))
 
 
 def ingest_arrivals(
