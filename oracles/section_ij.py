@@ -79,6 +79,15 @@ SQL["j2_stage_audit"] = query(
     WHERE ws <> '' AND n <= coalesce(list_position({words(K.STAGES)}, stage), 8)""",
     "run",
 )
+SQL["j2_step_counts"] = query(
+    f"""SELECT 'reviewed' AS step, 'rows' AS counter, count(*) AS value FROM run
+    UNION ALL SELECT 'reviewed', tool, count(run.document_id) FROM (SELECT unnest({words((K.STAGES[0], K.STAGES[1], K.STAGES[4], K.STAGES[5]))}) AS tool) LEFT JOIN run ON stage = tool GROUP BY tool
+    UNION ALL SELECT 'embedded', counter, value FROM (
+      SELECT count(*) AS "rows", count(*) FILTER (WHERE try_cast(regexp_extract(piece, 'Document ID: doc-([0-9]+)', 1) AS bigint) % 37 = 13) AS {K.STAGES[6]}
+      FROM run JOIN valid_chunks USING (document_id) WHERE stage IS NULL OR stage IN ({lit(K.STAGES[6])}, {lit(K.STAGES[7])})
+    ) UNPIVOT (value FOR counter IN ("rows", {K.STAGES[6]}))""",
+    "run", "valid_chunks",
+)
 SQL["j3_result_rows"] = query(
     """SELECT stage IS NULL AS success, 'DOCUMENT_INGESTION' AS mode, CASE WHEN ws = '' THEN 'UNKNOWN' ELSE ws END AS workspace_id, document_id,
     CASE WHEN ws <> '' THEN stage END AS failed_stage,

@@ -131,6 +131,11 @@ def j2_stage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_run(spark, sf_dir).audit.select("document_id", "stage_no", "tool_name", "success", "error")
 
 
+def j2_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tasks of a whole run counted while they wrote, without another look at the tables."""
+    return _whole_run(spark, sf_dir).steps.select("step", "counter", "value")
+
+
 def j3_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_run(spark, sf_dir).results
 

@@ -212,3 +212,16 @@ def test_parsing_reads_files_once(spark, folder):
     files = arrivals.as_uploads(admit.scan_files(spark, folder), "ws")
     plan = decode.parse_files(admit.catalog(admit.split_admitted(files)[0]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan binaryFile") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_steps_of_a_run_are_counted(spark, tmp_path):
+    out = run(spark, str(tmp_path / "v"))
+    steps = {(r.step, r.counter): r.value for r in out.steps.collect()}
+    assert steps.pop(("stored", None)) is None
+    assert {k: v for k, v in steps.items() if v} == {
+        ("reviewed", "rows"): 3, ("reviewed", "validate_document"): 1, ("reviewed", "parse_document"): 1,
+        ("embedded", "rows"): out.chunks.count(),
+    }
+    assert out.steps.filter("ms <= 0 or started_at is null").isEmpty()
+    none = ingest.ingest(parsed(spark, ("x", "")).limit(0), embed.hashing_embedder(8), dimensions=8)
+    assert {r.value for r in none.steps.collect()} == {0}
