@@ -1,9 +1,8 @@
 """Approximate scoped search: cells of a k-means partition in front of exact scoring.
 
 Cells are learned once from a bounded sample and stored with the rows. A request probes the
-cells nearest to its vector; rows are found by an equi-join on workspace, document and
-cell, and only those are scored, exactly. The share of rows that is scored is about
-``probes / cells``.
+cells nearest to its vector; it meets the rows of its documents in tiles, in which only rows
+of those cells are looked at, exactly. Their share is about ``probes / cells``.
 """
 
 from __future__ import annotations
@@ -15,8 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions.vectors import pair_distance
-from ledgerleaf.operators.retrieve import _cleaned, _ranked, with_payload
+from ledgerleaf.operators.retrieve import _cleaned, _ranked, scored_in_tiles, with_payload
 
 #: Rows at most that the cells are learned from.
 SAMPLE_ROWS = 20_000
@@ -56,18 +54,9 @@ def with_cell(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def approx_top_k(celled: DataFrame, requests: DataFrame, centres: np.ndarray, *, probes: int = PROBES, metric: str = "l2sq") -> DataFrame:
     """Approximate form of :func:`retrieve.top_k` over rows from :func:`with_cell`."""
-    asked = (
-        _cleaned(requests)
-        .filter(F.size("query_embedding") == centres.shape[1])
-        .withColumn("cell", F.explode(nearest_cells(F.col("query_embedding"), centres, probes)))
-        .withColumn("document_id", F.explode("scope"))
-        .drop("scope")
-    )
-    found = celled.select("workspace_id", "document_id", "cell", "record_id", "vector").join(asked, ["workspace_id", "document_id", "cell"])
-    scored = found.select(
-        "query_id", "workspace_id", "document_id", "record_id", "top_k",
-        pair_distance(metric)(F.col("vector"), F.col("query_embedding")).alias("distance"),
-    )
+    asked = _cleaned(requests).filter(F.size("query_embedding") == centres.shape[1])
+    asked = asked.withColumn("probes", nearest_cells(F.col("query_embedding"), centres, probes))
+    scored = scored_in_tiles(celled, asked, metric, cells=len(centres))
     return with_payload(celled, _ranked(scored))
 
 

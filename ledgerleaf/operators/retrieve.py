@@ -6,8 +6,10 @@ does not exist. Two plans give the same exact result:
 * ``block``: for a bounded set of requests. The requests travel to the tasks, each
   task keeps the best ``top_k`` rows per request, and only those are shuffled. The
   vector table is scanned once and never shuffled.
-* ``join``: for any number of requests. An equi-join on workspace and document
-  feeds a ranking window whose group limit runs before the shuffle.
+* ``join``: for any number of requests. Rows and requests of a document meet in tiles of
+  bounded size, dealt over the tasks by a join of both sides. A matrix product bounds the
+  distances of a tile, only rows that may be among the best are scored, and a ranking window
+  with a group limit before its shuffle closes the requests over their tiles.
 
 ``auto`` measures the requests and takes ``block`` when they fit the bound.
 """
@@ -22,17 +24,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ledgerleaf import constants as K
 from ledgerleaf.functions import text
-from ledgerleaf.functions.vectors import METRICS, block_distance, pair_distance
+from ledgerleaf.functions.session import saved
+from ledgerleaf.functions.vectors import METRICS, block_distance, distance_bounds
 from ledgerleaf.operators.store import bucket_of
 
 MAX_BLOCK_REQUESTS = 4096
 MAX_BLOCK_SCOPES = 200_000
 MAX_BLOCK_FLOATS = 8_000_000
 MAX_PRUNED_VALUES = 1000
+#: Rows and requests of a tile, and numbers of a matrix or of scored vectors held at a time.
+TILE_ROWS = 4096
+TILE_FLOATS = 4_000_000
 
 
 def request_error(
@@ -209,17 +217,149 @@ def _block_plan(
     return pruned, F.broadcast(ranked)
 
 
-def _join_plan(vectors: DataFrame, requests: DataFrame, metric: str) -> tuple[DataFrame, DataFrame]:
-    wanted = requests.select("query_id", "workspace_id", F.explode("scope").alias("document_id"), "query_embedding", "top_k")
-    pairs = vectors.select("workspace_id", "document_id", "record_id", "vector").join(
-        wanted, ["workspace_id", "document_id"]
+def _few_of_equal(rows: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Rows without those that ``most`` equal vectors precede; no request can want them."""
+    if rows.shape[1] == 0 or len(rows) <= most:
+        return np.arange(len(rows))
+    packed = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+    _, first, group = np.unique(packed, return_index=True, return_inverse=True)
+    if len(first) == len(rows):
+        return np.arange(len(rows))
+    by = np.lexsort((order, group))
+    starts = np.searchsorted(group[by], np.arange(len(first)))
+    return np.sort(by[np.arange(len(by)) - starts[group[by]] < most])
+
+
+def nearest_in_tile(
+    rows: np.ndarray, record: np.ndarray, asked: np.ndarray, keep: np.ndarray, metric: str,
+    cell: np.ndarray | None = None, probes: np.ndarray | None = None,
+) -> Found:
+    """The ``keep`` nearest rows of each request: (request, row, distance), ties by record id.
+
+    Exact: all rows whose least possible distance is within the k-th greatest possible one are
+    scored by :func:`block_distance`. With ``cell`` of the rows and ``probes``, a matrix of
+    requests by cells, a request sees the rows of its cells only.
+    """
+    order = np.empty(len(record), "int64")
+    order[np.argsort(record, kind="stable")] = np.arange(len(record))
+    if cell is None:
+        used = _few_of_equal(rows, order, int(keep.max()))
+        rows, order = rows[used], order[used]
+    else:
+        used = np.argsort(cell, kind="stable")
+        rows, order, cell = rows[used], order[used], cell[used]
+        cells, begins = np.unique(cell, return_index=True)
+        spans = list(zip(cells.tolist(), begins.tolist(), [*begins[1:].tolist(), len(cell)]))
+    out = []
+    step = max(1, TILE_FLOATS // len(rows))
+    for at in range(0, len(asked), step):
+        part, k = asked[at : at + step], keep[at : at + step]
+        if cell is None:
+            low, high = distance_bounds(part, rows, metric)
+            seen = None
+        else:
+            low, high = np.full((2, len(part), len(rows)), np.inf)
+            seen = np.zeros(low.shape, bool)
+            for c, begin, end in spans:
+                who = np.flatnonzero(probes[at : at + step, c])
+                if len(who):
+                    low[who, begin:end], high[who, begin:end] = distance_bounds(part[who], rows[begin:end], metric)
+                    seen[who, begin:end] = True
+        top = min(int(k.max()), len(rows))
+        least = np.sort(np.partition(high, top - 1, axis=1)[:, :top], axis=1)
+        limit = np.where(k > top, np.inf, least[np.arange(len(part)), np.minimum(k, top) - 1])
+        near = low <= limit[:, None]
+        if seen is not None:
+            near &= seen
+        who, row = np.nonzero(near)
+        dist = np.empty(len(who))
+        pairs = max(1, TILE_FLOATS // max(1, rows.shape[1]))
+        for i in range(0, len(who), pairs):
+            now = slice(i, i + pairs)
+            dist[now] = block_distance(part[who[now]], rows[row[now]], metric)
+        far = np.where(np.isnan(dist), np.inf, dist)
+        by = np.lexsort((order[row], np.isnan(dist), far, who))
+        starts = np.searchsorted(who[by], np.arange(len(part)))
+        by = by[np.arange(len(by)) - starts[who[by]] < k[who[by]]]
+        out.append((who[by] + at, used[row[by]], dist[by]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _tile_scorer(metric: str, cells: int | None, schema: pa.Schema):
+    def by_scope(table: pa.Table) -> dict[tuple, list[int]]:
+        found = defaultdict(list)
+        for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("workspace_id", "document_id", "size")))):
+            found[key].append(i)
+        return found
+
+    def matrix(table: pa.Table, name: str, n: int) -> np.ndarray:
+        flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.astype("float64").reshape(table.num_rows, n)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted, parts = by_scope(right), []
+        for key, at in by_scope(left).items():
+            if key not in wanted:
+                continue
+            rows, asked = left.take(at), right.take(wanted[key])
+            inside = ()
+            if cells is not None:
+                probes = np.zeros((asked.num_rows, cells), bool)
+                for i, near in enumerate(asked.column("probes").to_pylist()):
+                    probes[i, near] = True
+                inside = (rows.column("cell").to_numpy(), probes)
+            who, row, dist = nearest_in_tile(
+                matrix(rows, "vector", key[2]), np.asarray(rows.column("record_id").to_pylist(), dtype=object),
+                matrix(asked, "query_embedding", key[2]), asked.column("keep").to_numpy(), metric, *inside,
+            )
+            held = {**{c: asked.column(c).take(who) for c in ("query_id", "top_k")}, **{c: rows.column(c).take(row) for c in ("workspace_id", "document_id", "record_id")}}
+            parts.append(pa.table({**held, "distance": dist}).select(schema.names).cast(schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return score
+
+
+def scored_in_tiles(vectors: DataFrame, requests: DataFrame, metric: str, cells: int | None = None) -> DataFrame:
+    """The nearest rows of every cleaned request in each tile of rows of its documents; ``top_k`` rows at least.
+
+    A tile holds about ``TILE_ROWS`` rows and as many requests of one document, or of many
+    small ones; a large document has several, and each of its rows meets each of its requests
+    in one of them. With ``cells`` the rows bring their ``cell`` and the requests their ``probes``.
+    """
+    keys = ["workspace_id", "document_id", "size"]
+    # Requests that share an identifier are ranked together.
+    most = F.least(F.max("top_k").over(Window.partitionBy("query_id")), F.lit(K.MAX_TOP_K))
+    inside = ([], []) if cells is None else (["cell"], ["probes"])
+    wanted = requests.withColumn("keep", most).filter("keep > 0").select(
+        "query_id", "workspace_id", F.explode("scope").alias("document_id"), "query_embedding", "top_k", "keep",
+        F.size("query_embedding").alias("size"), *inside[1],
     )
-    found = pairs.filter(F.size("vector") == F.size("query_embedding")).select(
-        "query_id", "workspace_id", "document_id", "record_id", "top_k",
-        # Python hands back null for a distance that is no number.
-        F.coalesce(pair_distance(metric)(F.col("vector"), F.col("query_embedding")), F.lit(float("nan"))).alias("distance"),
+    rows = vectors.select("workspace_id", "document_id", "record_id", "vector", F.size("vector").alias("size"), *inside[0])
+    counts = [df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((rows, "n_rows"), (wanted, "n_asked"))]
+    scopes = counts[0].join(counts[1], keys).withColumns(
+        {"row_tiles": F.ceil(F.col("n_rows") / TILE_ROWS), "asked_tiles": F.ceil(F.col("n_asked") / TILE_ROWS)}
     )
-    return vectors, _ranked(found)
+    scopes = saved(scopes.withColumn("small", F.expr("row_tiles = 1 AND asked_tiles = 1")), "scopes")
+    held = scopes.filter("small").agg(F.sum("n_rows").alias("r"), F.sum("n_asked").alias("q")).first()
+    tiles = max(1, -(-max(held["r"] or 0, held["q"] or 0) // TILE_ROWS))
+    place = F.xxhash64(*keys)
+    scopes = scopes.select(*keys, "row_tiles", "asked_tiles", F.when(F.col("small"), F.pmod(place, F.lit(tiles))).otherwise(place).alias("place"))
+
+    def dealt(df: DataFrame, own: str, other: str, *by: str) -> DataFrame:
+        placed = df.join(scopes, keys).withColumn(own, F.pmod(F.xxhash64(*by), F.col(f"{own}_tiles")))
+        met = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_tiles") - 1)))
+        # Both sides come from one table; named anew, their columns can be told apart.
+        return met.select(*df.columns, *(F.col(c).alias(c) for c in ("place", "row", "asked")))
+
+    left = dealt(rows, "row", "asked", "record_id", "vector").groupBy("place", "row", "asked")
+    right = dealt(wanted, "asked", "row", "query_id", "query_embedding").groupBy("place", "row", "asked")
+    id_type = requests.schema["query_id"].dataType.simpleString()
+    found = T.StructType.fromDDL(f"query_id {id_type}, workspace_id string, document_id string, record_id string, top_k int, distance double")
+    return left.cogroup(right).applyInArrow(_tile_scorer(metric, cells, to_arrow_schema(found)), found)
+
+
+def _join_plan(vectors: DataFrame, requests: DataFrame, metric: str) -> tuple[DataFrame, DataFrame]:
+    return vectors, _ranked(scored_in_tiles(vectors, requests, metric))
 
 
 def top_k(
