@@ -2,8 +2,9 @@
 
 A text is read once, however many rules there are. The failure links of the automaton
 report every word that ends at a character, so overlapping words and words inside words
-are all found. What a word is worth to which rule is kept in flat arrays, and only rules
-that a word of the document names are ever scored.
+are all found. Rules that share their common words form a class, which is scored as one and
+remembered by the common words of a document. So a word of many rules costs its classes, and
+one by one only rules are scored that a rare word of the document names.
 
 The rules travel to the tasks as a broadcast of measured size. A longer table is cut into
 slices by hash; the slices follow one another, the best rule so far is written between them.
@@ -14,9 +15,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,24 +32,23 @@ RULE_COLUMNS = ("rule_no", "doc_type", *WORD_LISTS)
 BEST = "struct<points:int,order:bigint,document_type:string,primary:array<string>,secondary:array<string>,headers:array<string>>"
 VETO = -(1 << 40)  # no sum of points reaches it
 LAST = -(1 << 63)  # the order of a rule without a number
+COMMON = 64  # rules of a word beyond which it is common
+REMEMBERED = 4096  # sets of common words whose classes a task keeps in order
 
 Best = tuple[int, int, str | None, list[str], list[str], list[str]]
 
 
 class Words:
-    """Points that the words of one kind of text give to rules.
+    """Points that the words of one kind of text give to rules; a word is a slot.
 
-    A word is a slot; its rules and points are ``rules[starts[s]:starts[s + 1]]`` and the
-    same part of ``points``. A word listed twice by a rule counts twice.
+    A word listed twice by a rule counts twice.
     """
 
     def __init__(self, votes: Iterable[tuple[str, int, int]]):
         by_word: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for word, rule, points in votes:
             by_word[word].append((rule, points))
-        flat = np.array([vote for listed in by_word.values() for vote in listed], dtype=np.int64).reshape(-1, 2)
-        self.rules, self.points = flat[:, 0].copy(), flat[:, 1].copy()
-        self.starts = np.cumsum([0, *map(len, by_word.values())])
+        self.votes = list(by_word.values())
         self.everywhere = {slot for slot, word in enumerate(by_word) if not word}  # the empty word is in every text
         self.automaton = ahocorasick.Automaton()
         for slot, word in enumerate(by_word):
@@ -57,12 +57,12 @@ class Words:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def found(self, text: str | None) -> Iterator[slice]:
-        """Parts of the arrays that belong to the distinct words of a text."""
+    def found(self, text: str | None) -> set[int]:
+        """The distinct words of a text."""
         slots = set(self.everywhere)
         if text and len(self.automaton):
             slots.update(slot for _, slot in self.automaton.iter(text))
-        return (slice(self.starts[s], self.starts[s + 1]) for s in slots)
+        return slots
 
 
 class Matcher:
@@ -85,29 +85,89 @@ class Matcher:
         )
         self.headers = Words((word, n, K.HEADER_POINTS) for n, r in enumerate(listed) for word in r[4])
 
+        shared: dict[int, list] = defaultdict(list)
+        common: list[tuple[int, int]] = []
+        for side, words in enumerate((self.corpus, self.headers)):
+            for slot, votes in enumerate(words.votes):
+                if len(votes) > COMMON:
+                    common.append((side, slot))
+                    for rule, points in votes:
+                        shared[rule].append((side, slot, points))
+        numbers: dict[tuple, int] = {}
+        #: Class of each rule with a common word; its members in evaluation order.
+        self.class_of: dict[int, int] = {}
+        self.members: list[list[int]] = []
+        #: Classes and points of each common word.
+        self.worth: dict[tuple[int, int], list[tuple[int, int]]] = {word: [] for word in common}
+        for rule in sorted(shared):
+            key = tuple(shared[rule])
+            number = numbers.setdefault(key, len(numbers))
+            if number == len(self.members):
+                self.members.append([])
+                for side, slot, points in key:
+                    self.worth[side, slot].append((number, points))
+            self.class_of[rule] = number
+            self.members[number].append(rule)
+        self.classes = lru_cache(REMEMBERED)(self._classes)
+
+    def _classes(self, common: frozenset[tuple[int, int]]) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
+        """Points of every class that the words name, and those above zero as (-points, first rule, class), best first."""
+        sums: dict[int, int] = defaultdict(int)
+        for word in common:
+            for number, points in self.worth[word]:
+                sums[number] += points
+        ranked = sorted((-min(p, K.MAX_POINTS), self.members[n][0], n) for n, p in sums.items() if p > 0)
+        return dict(sums), ranked
+
     def best(self, corpus: str | None, headers: str | None) -> Best:
         """Points and words of the best rule; no points and no words where none scores."""
-        parts = [(side.rules[at], side.points[at]) for side, text in ((self.corpus, corpus), (self.headers, headers)) for at in side.found(text)]
-        if parts:
-            rules, where = np.unique(np.concatenate([r for r, _ in parts]), return_inverse=True)
-            sums = np.zeros(len(rules), dtype=np.int64)
-            np.add.at(sums, where, np.concatenate([p for _, p in parts]))
-            sums = np.minimum(sums, K.MAX_POINTS)
-            top = int(np.argmax(sums))  # the first of equals
-            if sums[top] > 0:
-                number, doc_type, primary, secondary, heads, _ = self.rules[rules[top]]
-                order = LAST if number is None else -number
-                return int(sums[top]), order, doc_type, list(primary), list(secondary), list(heads)
+        named: dict[int, int] = defaultdict(int)
+        common = []
+        for side, (words, text) in enumerate(((self.corpus, corpus), (self.headers, headers))):
+            for slot in words.found(text):
+                if (side, slot) in self.worth:
+                    common.append((side, slot))
+                else:
+                    for rule, points in words.votes[slot]:
+                        named[rule] += points
+        sums, ranked = self.classes(frozenset(common))
+        top = (0, 0)  # least of (-points, rule)
+        for rule, points in named.items():
+            points += sums.get(self.class_of.get(rule), 0)
+            if points > 0:
+                top = min(top, (-min(points, K.MAX_POINTS), rule))
+        for points, first, number in ranked:
+            if (points, first) > top:
+                break
+            # Those that a rare word names have been scored with it.
+            rule = next((r for r in self.members[number] if r not in named), None)
+            if rule is not None:
+                top = min(top, (points, rule))
+        if top[0] < 0:
+            number, doc_type, primary, secondary, heads, _ = self.rules[top[1]]
+            order = LAST if number is None else -number
+            return -top[0], order, doc_type, list(primary), list(secondary), list(heads)
         return 0, LAST, None, [], [], []
 
 
+_held: list = []
+
+
+def _matcher(rules: list[tuple]) -> Matcher:
+    """The matcher of a broadcast; a Python worker makes it once for the tasks that follow one another in it."""
+    if not _held or _held[0] is not rules:
+        _held[:] = []
+        _held[:] = [rules, Matcher(rules)]
+    return _held[1]
+
+
 def _best(rules: DataFrame, corpus: Column, headers: Column) -> Column:
     """Best rule of a slice that was measured to fit into a broadcast."""
     packed = rules.sparkSession.sparkContext.broadcast([tuple(row) for row in rules.collect()])
 
     @F.pandas_udf(BEST)
     def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(packed.value)
+        matcher = _matcher(packed.value)
         names = ["points", "order", "document_type", "primary", "secondary", "headers"]
         for texts, heads in batches:
             yield pd.DataFrame([matcher.best(*pair) for pair in zip(texts, heads, strict=True)], columns=names)

@@ -115,3 +115,26 @@ def test_no_shuffle_of_documents(spark, documents):
     rules = table(spark, [(1, "t", ["INVOICE"], [], [], [])])
     plan = classify(documents, rules).filter(F.col("confidence") > 0)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_classes_of_rules_give_the_rules_scored_one_by_one(monkeypatch):
+    rng = random.Random(11)
+    pick = lambda n: tuple(rng.choice(["AB", "B", "CD", "D", "XY", "", "Q"]) for _ in range(rng.randrange(n)))
+    rules = [(rng.choice([None, *range(60)]), f"t{i % 9}", (f"N{i % 120}.", *pick(3)), pick(3), pick(2), (f"M{i % 50}.",) * (i % 3 == 0) + pick(2)[:i % 7 == 0]) for i in range(150)]
+    texts = [(" ".join(rng.sample(["AB", "CD", "XY", "QQ", f"N{rng.randrange(130)}.", f"M{rng.randrange(60)}."], rng.randrange(7))), rng.choice(["", "AB", "XY D", None])) for _ in range(300)]
+    want = None
+    for common in (10**9, 5, 0):
+        monkeypatch.setattr(keywords, "COMMON", common)
+        matcher = keywords.Matcher(rules)
+        got = [matcher.best(*t) for t in texts]
+        want = want or got
+        assert got == want and len({g[:2] for g in got}) > 3
+
+
+def test_a_word_of_many_rules_costs_its_classes():
+    rules = [(i, f"t{i}", (f"N{i}.",), ("SHARED",), (), (f"V{i % 10}.",)) for i in range(20_000)]
+    matcher = keywords.Matcher(rules)
+    assert sum(map(len, matcher.worth.values())) <= 30  # 40,000 votes before
+    assert matcher.best("SHARED N7.", None)[1] == -7
+    assert matcher.best("SHARED V0. V1.", None)[1] == -2
+    assert matcher.best("SHARED V0. N0. N1.", None)[1] == -1
