@@ -1,0 +1,57 @@
+"""Rule lists: one pass over a text finds the words of all rules."""
+
+import random
+import re
+
+from helpers import parsed
+from pyspark.sql import functions as F
+
+from ledgerleaf.operators import classify as C
+from ledgerleaf.rules import BUILTIN_RULES, Rule
+
+WORDS = ["A", "AB", "ABC", "B", "BC A", "CA-", "C.B", "(A", "É", "", "ABCABC", "D", "E", "F", "G", "H"]
+
+
+def test_longest_word_at_each_place():
+    pattern = C._trie_pattern(["QUOTE", "QUOTE NUMBER", "A", "AB", "ARN", *"BCDEFGHIJKLMN"])
+    found = re.findall(f"(?=({pattern}))", "QUOTE NUMBARN")
+    assert found == ["QUOTE", "E", "N", "M", "B", "ARN", "N"]
+    whole = C._trie_pattern([w for r in BUILTIN_RULES for w in r.primary])
+    assert re.findall(f"(?=({whole}))", "GST INVOICE GSTIN") == ["GST INVOICE", "INVOICE", "GSTIN"]
+
+
+def expected(rules, corpus, headers):
+    """Points and type of the best rule, by a search for every word."""
+    best = (0, None)
+    for rule in rules:
+        if (corpus is None and rule.negative) or any(w in corpus for w in rule.negative):
+            continue
+        held = lambda words, text: 0 if text is None else sum(w in text for w in words)
+        points = 40 * held(rule.primary, corpus) + 15 * held(rule.secondary, corpus) + 20 * held(rule.headers, headers)
+        if min(points, 100) > best[0]:
+            best = (min(points, 100), rule.doc_type)
+    return best
+
+
+def test_best_rule_equals_plain_search(spark, monkeypatch):
+    rnd = random.Random(5)
+    some = lambda most: tuple(rnd.choice(WORDS) for _ in range(rnd.randrange(most + 1)))
+    texts = [None, "", *("".join(rnd.choice("ABC -.(ÉDEH") for _ in range(rnd.randrange(14))) for _ in range(60))]
+    rows = [(str(i), t, rnd.choice(["", "AB", "C.B\nBC A"])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, corpus_upper string, headers_upper string").coalesce(1)
+    for per_pass in (200, 3):
+        monkeypatch.setattr(C, "RULES_PER_PASS", per_pass)
+        rules = [Rule(f"T{i}", some(3), some(3), some(2), some(1) if i % 2 else ()) for i in range(7)]
+        got = {r["id"]: r["_best"] for r in C._with_best_literal(df, rules).select("id", "_best").collect()}
+        for key, corpus, headers in rows:
+            points, kind = expected(rules, corpus, headers)
+            assert got[key]["points"] == points
+            assert kind is None or got[key]["document_type"] == kind
+
+
+def test_texts_are_not_searched_for_each_word(spark):
+    plan = C.classify(parsed(spark, ("d", "TAX INVOICE", []))).drop("matched_rules", "reason")
+    seen = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"[Cc]ontains\(", seen)
+    row = plan.select("document_type", F.col("confidence")).first()
+    assert (row[0], row[1]) == ("GST Invoice", 0.4)
