@@ -47,8 +47,8 @@ from ledgerleaf.llm.memory import drop, settle, settled
 TOKENS, WORDS, BITS = 400_000, 150_000, 512
 #: Entries of a key that are compared together; a key with more is cut into blocks that meet pairwise.
 BLOCK = 1_000
-#: Bits of the wider maps that are compared before whole sets are sent.
-WIDE = 4_096
+#: Most bits of the wider maps, which sets of more than ``BITS`` shingles have beside the others.
+WIDE = 1 << 13
 #: Bytes of text that are cut into words at once, and buckets of keys for each partition.
 TEXT, SPREAD = 2 << 20, 2
 #: A subset with one shingle less is taken to be shared by so many times more sets.
@@ -112,6 +112,41 @@ def parity(s: np.ndarray, bits: int = BITS) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def width(n: int) -> int:
+    """Bits of the map of a set of ``n`` shingles: as many or more, so that it tells sets apart; up to ``WIDE``."""
+    return min(max(BITS, 1 << (max(n, 1) - 1).bit_length()), WIDE)
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """The maps, one a row, in the narrower form of so many 64-bit words."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def narrowed(maps: list[bytes]) -> np.ndarray:
+    """The maps in the form of ``BITS`` bits."""
+    sizes = np.fromiter(map(len, maps), np.int64, len(maps))
+    out = np.empty((len(maps), BITS // 64), np.uint64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at] = folded(np.frombuffer(b"".join(maps[k] for k in at.tolist()), np.uint64).reshape(len(at), -1), BITS // 64)
+    return out
+
+
+def pairwise_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Places in which each map of ``a`` differs from the one of ``b`` beside it, in the narrower form of the two."""
+    sizes = np.array([list(map(len, a)), list(map(len, b))], np.int64)
+    out = np.zeros(len(a), np.int64)
+    for la, lb in np.unique(sizes, axis=1).T.tolist():
+        at = np.flatnonzero((sizes[0] == la) & (sizes[1] == lb))
+        step = max(1, TEXT // (la + lb))
+        for i in range(0, len(at), step):
+            now = at[i : i + step]
+            x, y = (np.frombuffer(b"".join(m[k] for k in now.tolist()), np.uint64).reshape(len(now), -1) for m in (a, b))
+            words = min(la, lb) // 8
+            out[now] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(axis=1)
+    return out
+
+
 @cache
 def bands(percent: int) -> list[tuple[int, int]]:
     """First and last size of each band, up to 2^31."""
@@ -284,14 +319,19 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _both_maps(maps: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """The narrow form of the maps, and those that are wider."""
+    return pa.array([m.tobytes() for m in narrowed(maps)], pa.binary()), pa.array([m if len(m) > BITS // 8 else None for m in maps], pa.binary())
+
+
 def _described(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in small_batches(batches, TEXT):
             sets = shingler(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.binary()), pa.array(map(parity, sets), pa.binary())],
-                names=["id", "n", "mark", "map"],
+                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.binary()), *_both_maps([parity(s, width(len(s))) for s in sets])],
+                names=["id", "n", "mark", "map", "wide"],
             )
 
     return run
@@ -311,7 +351,8 @@ def _entered(words: int, percent: int, buckets: int):
         plan = Plan(percent)
         for ids, sets in _chunks(batches, words):
             marks, maps = list(map(_fingerprint, sets)), list(map(parity, sets))
-            rows = [(ROWS, ids.tobytes(), np.fromiter(map(len, sets), np.int64).tobytes(), b"".join(marks), b"".join(maps))]
+            wide = [parity(s, width(len(s))) if width(len(s)) > BITS else m for s, m in zip(sets, maps)]
+            rows = [(ROWS, ids.tobytes(), np.fromiter(map(len, sets), np.int64).tobytes(), b"".join(marks), b"".join(wide))]
             # Equal sets are one vertex: the smallest identifier.
             first: dict[bytes, int] = {}
             for k in np.argsort(ids, kind="stable").tolist():
@@ -352,12 +393,12 @@ def _entered(words: int, percent: int, buckets: int):
     return run
 
 
-STARS = "kind int, key bigint, a bigint, b bigint, open boolean, many boolean, mark binary, map binary"
+STARS = "kind int, key bigint, a bigint, b bigint, open boolean, many boolean, mark binary, map binary, wide binary"
 
 
-def _met(kind: int, a: np.ndarray, b: np.ndarray, key=None, open_=None, many=None, mark=None, map_=None) -> pa.RecordBatch:
+def _met(kind: int, a: np.ndarray, b: np.ndarray, key=None, open_=None, many=None, mark=None, map_=None, wide=None) -> pa.RecordBatch:
     n, none = len(a), lambda x, t: pa.nulls(len(a), t) if x is None else pa.array(x, t)
-    columns = [pa.array(np.full(n, kind, np.int32)), none(key, pa.int64()), pa.array(a), pa.array(b), none(open_, pa.bool_()), none(many, pa.bool_()), none(mark, pa.binary()), none(map_, pa.binary())]
+    columns = [pa.array(np.full(n, kind, np.int32)), none(key, pa.int64()), pa.array(a), pa.array(b), none(open_, pa.bool_()), none(many, pa.bool_()), none(mark, pa.binary()), none(map_, pa.binary()), none(wide, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in STARS.split(", ")])
 
 
@@ -367,8 +408,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             if r["bucket"] == ROWS:
-                cut = lambda x, n: [x[i : i + n] for i in range(0, len(x), n)]
-                yield _met(ROWS, np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64), mark=cut(r["c"], 16), map_=cut(r["d"], BITS // 8))
+                n = np.frombuffer(r["b"], np.int64)
+                marks = [r["c"][i : i + 16] for i in range(0, len(r["c"]), 16)]
+                ends = np.cumsum([width(x) // 8 for x in n.tolist()]).tolist()
+                narrow, wide = _both_maps([r["d"][i:j] for i, j in zip([0, *ends], ends)])
+                yield _met(ROWS, np.frombuffer(r["a"], np.int64), n, mark=marks, map_=narrow, wide=wide)
             elif r["bucket"] == LINKS:
                 yield _met(LINKS, np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64))
             else:
@@ -424,32 +468,31 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         shingler = Shingler(words)
         for b in small_batches(batches, TEXT):
             sets = shingler(b.column(1).to_pylist())
-            wide = [parity(s, WIDE) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(wide, pa.binary())], names=["id", "shingles", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles binary, wide binary")
+    return docs.mapInArrow(run, "id bigint, shingles binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int, percent: int, used: list[str]) -> DataFrame:
-    """The pairs ``a, b`` of vertices that are linked."""
+def _nearer(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that sizes and maps (``k, n, map``) let be linked."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            maps = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5)]
-            apart = np.bitwise_count(maps[0] ^ maps[1]).sum(axis=1)
+            # Sets differ in no fewer shingles than their maps and their sizes do.
+            apart = np.maximum(pairwise_apart(b.column(4).to_pylist(), b.column(5).to_pylist()), np.abs(na - nb))
             keep = apart * (100 + percent) <= (100 - percent) * (na + nb)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    def nearer(found: DataFrame, maps: DataFrame) -> DataFrame:
-        """Pairs that sizes and maps (``k, n, map``) let be linked."""
-        with_a = found.join(maps, F.col("a") == F.col("k")).select("a", "b", F.col("n").alias("na"), F.col("map").alias("ma"))
-        both = with_a.join(maps, F.col("b") == F.col("k")).select("a", "b", "na", F.col("n").alias("nb"), "ma", F.col("map").alias("mb"))
-        return both.mapInArrow(near, "a bigint, b bigint")
+    with_a = pairs.join(maps, F.col("a") == F.col("k")).select("a", "b", F.col("n").alias("na"), F.col("map").alias("ma"))
+    both = with_a.join(maps, F.col("b") == F.col("k")).select("a", "b", "na", F.col("n").alias("nb"), "ma", F.col("map").alias("mb"))
+    return both.mapInArrow(near, "a bigint, b bigint")
+
 
-    close = settled(nearer(pairs, sizes.select(F.col("id").alias("k"), "n", "map")), "near", used)
+def _verified(close: DataFrame, texts: DataFrame, words: int, percent: int, used: list[str]) -> DataFrame:
+    """The pairs ``a, b`` of vertices that are linked; whole sets are made and sent for these pairs, so maps come before."""
     ends = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
     sets = settled(_sets(_likely(texts, ends).join(ends, "id", "left_semi"), words), "sets", used).dropDuplicates(["id"])
 
@@ -462,9 +505,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, words: int,
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # Whole sets are sent for few pairs only: wider maps tell long texts apart as well.
-    wide = sets.select(F.col("id").alias("k"), (F.octet_length("shingles") / 8).cast("bigint").alias("n"), F.col("wide").alias("map"))
-    close = settled(nearer(close, wide), "nearer", used)
     one = close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return two.mapInArrow(equal, "a bigint, b bigint")
@@ -510,15 +550,23 @@ def _close_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
         def compare(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             block, vertex, root, n = (part.column(k).to_numpy() for k in ("block", "vertex", "root", "n"))
-            maps = np.frombuffer(b"".join(part.column("map").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            wide = part.column("map").to_pylist()
+            maps = narrowed(wide)
             x, y = part.column("x")[0].as_py(), part.column("y")[0].as_py()
             left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
             for at in range(0, len(left), 256):
                 i = left[at : at + 256]
-                may = _apart(maps[i], maps[right]) * (100 + percent) <= (100 - percent) * (n[i][:, None] + n[right][None, :])
+                apart = np.maximum(_apart(maps[i], maps[right]), np.abs(n[i][:, None] - n[right][None, :]))
+                may = apart * (100 + percent) <= (100 - percent) * (n[i][:, None] + n[right][None, :])
                 may &= root[i][:, None] != root[right][None, :]
                 p, q = np.nonzero(may)
-                a, b = vertex[i[p]], vertex[right[q]]
+                p, q = i[p], right[q]
+                # The wider maps tell long texts apart before a pair becomes a row.
+                long = np.flatnonzero((n[p] > BITS) | (n[q] > BITS))
+                apart = pairwise_apart([wide[k] for k in p[long].tolist()], [wide[k] for k in q[long].tolist()])
+                near = np.ones(len(p), bool)
+                near[long] = apart * (100 + percent) <= (100 - percent) * (n[p[long]] + n[q[long]])
+                a, b = vertex[p[near]], vertex[q[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
@@ -547,10 +595,10 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
     sent = known.mapInArrow(_entered(words, percent, buckets), SENT)
     met = settled(sent.repartition(F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(_stars, STARS), "stars", used)
 
-    nameless = texts.filter("id IS NULL").mapInArrow(_described(words), "id bigint, n bigint, mark binary, map binary")
-    described = met.filter(F.col("kind") == ROWS).select(F.col("a").alias("id"), F.col("b").alias("n"), "mark", "map").unionByName(nameless)
+    nameless = texts.filter("id IS NULL").mapInArrow(_described(words), "id bigint, n bigint, mark binary, map binary, wide binary")
+    described = met.filter(F.col("kind") == ROWS).select(F.col("a").alias("id"), F.col("b").alias("n"), "mark", "map", "wide").unionByName(nameless)
     same = described.filter("n > 0 AND id IS NOT NULL").groupBy("mark").agg(F.min("id").alias("vertex"))
-    rows = settled(described.join(same, "mark", "left").select("id", "n", "map", "vertex"), "vertices")
+    rows = settled(described.join(same, "mark", "left").select("id", "n", "map", "wide", "vertex"), "vertices")
     vertices = rows.filter("id = vertex").dropDuplicates(["id"])
     to = rows.filter("vertex IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("vertex").alias("vertex"))
 
@@ -562,8 +610,10 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
 
     sure = of_vertices(met.filter(F.col("kind") == LINKS).select("a", "b").distinct())
     stars = settled(of_vertices(met.filter("kind = 0"), "key", "open", "many"), "candidates")
-    first = _verified(stars.filter("a <> b").select("a", "b").distinct(), known, vertices, words, percent, used)
-    links = settled(sure.unionByName(first), "verified")
+    widest = vertices.select("id", "n", F.coalesce("wide", "map").alias("map"))
+    close = settled(_nearer(stars.filter("a <> b").select("a", "b").distinct(), vertices.select(F.col("id").alias("k"), "n", "map"), percent), "near", used)
+    close = settled(_nearer(close, widest.withColumnRenamed("id", "k"), percent), "nearer", used)
+    links = settled(sure.unionByName(_verified(close, known, words, percent, used)), "verified")
     drop(spark, used)
     roots = components(links)
 
@@ -588,9 +638,10 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
         again = _likely(known, members.select("id").distinct()).mapInArrow(_members(words, percent, keys), "key bigint, id bigint")
         again = again.join(hidden, "key", "left_semi").join(members, "id").select("key", "vertex")
         entries = settled(rooted(ends.unionByName(again).distinct(), "vertex", "root"), "entries", used)
-        pairs = _close_pairs(entries.join(vertices.select(F.col("id").alias("vertex"), "n", "map"), "vertex"), percent).distinct()
+        pairs = _close_pairs(entries.join(widest.withColumnRenamed("id", "vertex"), "vertex"), percent).distinct()
         tried = stars.select("a", "b").distinct()
-        second = _verified(pairs.join(tried, ["a", "b"], "left_anti"), known, vertices, words, percent, used)
+        close = settled(pairs.join(tried, ["a", "b"], "left_anti"), "close", used)
+        second = _verified(close, known, words, percent, used)
         final = components(links.unionByName(second))
         drop(spark, used)
     found = rows.join(final.select(F.col("vertex"), "root"), "vertex", "left")

@@ -105,6 +105,53 @@ def test_linked_sets_share_a_probing_key():
             assert any(x and y and max(x, y) > 1 for x, y in sides.values()), (percent, n)
 
 
+def test_wider_maps_fold_to_narrower_ones():
+    s = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
+    wide = setjoin.parity(s, setjoin.width(len(s)))
+    assert setjoin.width(len(s)) >= len(s) and setjoin.width(3) == setjoin.BITS
+    assert setjoin.narrowed([wide, setjoin.parity(s)])[0].tobytes() == setjoin.parity(s)
+    t = s[7:3000]
+    assert setjoin.pairwise_apart([wide, wide], [setjoin.parity(t, setjoin.width(len(t))), wide]).tolist() == [
+        int(np.bitwise_count(np.frombuffer(setjoin.parity(s, 4096), np.uint8) ^ np.frombuffer(setjoin.parity(t, 4096), np.uint8)).sum()), 0
+    ]
+
+
+def test_long_texts_of_one_key_make_no_rows_unless_they_are_near(spark):
+    """Narrow maps of long texts are all alike: every pair of the key became a row, with the square of its texts."""
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in rng.integers(300, 6000, 60)]
+    sets += [np.concatenate([x[len(x) // 20 :], rng.integers(0, 1 << 63, 5).astype(np.uint64)]) for x in sets[:20]]
+    rows = [(9, i, i, len(x), bytearray(setjoin.parity(x, setjoin.width(len(x))))) for i, x in enumerate(sets)]
+    entries = spark.createDataFrame(rows, "key long, vertex long, root long, n long, map binary")
+    got = sorted(tuple(r) for r in setjoin._close_pairs(entries, 80).distinct().collect())
+    assert got == [(i, i + 60) for i in range(20)]
+
+
+def test_texts_with_a_common_passage_make_few_pairs(spark, monkeypatch):
+    """Long texts that share passages only: whole sets are made for pairs that maps let be linked."""
+    tables, settled = {}, setjoin.settled
+
+    def seen(df, label, *rest):
+        out = settled(df, label, *rest)
+        tables[label] = max(tables.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "settled", seen)
+    monkeypatch.setattr(setjoin, "TOKENS", 20_000)
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}x{i}" for i in range(500)) for k in range(3)]
+    texts = []
+    for _ in range(60):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(1000, 1200))]
+        texts.append(" ".join([passages[0], *own[:400], rng.choice(passages[1:]), *own[400:]]))
+    texts += [t + " one more" for t in texts[:5]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.linked(df, 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+    assert tables["candidates"] > 0 and tables.get("sets", 0) <= 10 and tables.get("close", 0) <= 5
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(0, 60)] + [(500, 500 + i) for i in range(1, 200)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)] + [(7, 7)]
