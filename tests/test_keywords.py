@@ -1,6 +1,7 @@
 """Rule tables: the automaton against plain search."""
 
 import random
+import tracemalloc
 
 import pytest
 from helpers import parsed
@@ -138,3 +139,21 @@ def test_a_word_of_many_rules_costs_its_classes():
     assert matcher.best("SHARED N7.", None)[1] == -7
     assert matcher.best("SHARED V0. V1.", None)[1] == -2
     assert matcher.best("SHARED V0. N0. N1.", None)[1] == -1
+
+
+def test_memory_of_a_task_is_bounded(monkeypatch):
+    """Rules are arrays, and what is remembered of the documents does not grow with them."""
+    monkeypatch.setattr(keywords, "REMEMBERED", 1 << 16)
+    # Every rule has one of 20 * 20 * 2 sets of common words.
+    rules = [(i, f"t{i}", (f"N{i}.",), (f"S{i % 20}.",), ("QTY",) if i % 7 else (), (f"V{i // 20 % 20}.",)) for i in range(60_000)]
+    table = keywords._in_order(rules)
+    tracemalloc.start()
+    matcher = keywords.Matcher(table)
+    assert tracemalloc.get_traced_memory()[0] < 12 << 20
+    texts = [" ".join(f"V{j}." for j in range(20) if n >> j & 1) + f" S{n % 20}. N{n}." for n in range(600)]
+    got = [matcher.best(t, "QTY")[:2] for t in texts]
+    assert tracemalloc.get_traced_memory()[0] < 13 << 20
+    tracemalloc.stop()
+    for n in range(0, 600, 37):
+        plain = searched([r for r in rules if r[0] < 800 or r[0] == n], texts[n], "QTY")
+        assert got[n] == (plain[0], -plain[1])
