@@ -165,3 +165,28 @@ def test_stream_killed_around_the_commit_ends_in_the_same_table(spark, tmp_path,
     run(path, state)
     assert stored(path) == want
     assert len(snapshots.numbers(spark, path)) == 3  # one for each batch
+
+
+def parts(spark, path):
+    at = snapshots.version(spark, path)
+    return {(r.bucket, r.commit) for r in snapshots._manifest(spark, path, at).collect()}
+
+
+def test_new_rows_leave_stored_ones_where_they_are(spark, tmp_path, monkeypatch):
+    """A batch is written beside the rows of a partition; only commits with a key of the batch are written anew."""
+    path = str(tmp_path / "t")
+    store.upsert(spark, rows(spark, range(0, 20), "one"), path)
+    first = parts(spark, path)
+    store.upsert(spark, rows(spark, range(20, 40), "two"), path)
+    second = parts(spark, path)
+    assert first < second and len(second) == 2 * len(first)
+    store.upsert(spark, rows(spark, [25], "three"), path)
+    assert len(second - parts(spark, path)) == 1 and first < parts(spark, path)
+    assert content(spark, path) == sorted((f"c{i}", "three" if i == 25 else "one" if i < 20 else "two") for i in range(40))
+    replacing = rows(spark, [50], "four")  # of document d0
+    store.upsert(spark, replacing, path, replace_document=True)
+    assert content(spark, path) == sorted([("c50", "four"), *((f"c{i}", "three" if i == 25 else "one" if i < 20 else "two") for i in range(40) if i % 5)])
+    monkeypatch.setattr(snapshots, "PARTS", 1)
+    store.upsert(spark, rows(spark, range(60, 80), "five"), path)
+    assert len(parts(spark, path)) == len(first)
+    assert len(content(spark, path)) == 1 + 32 + 20
